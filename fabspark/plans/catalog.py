@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from . import (  # noqa: F401
         wafer_queries,
+        yield_queries,
     )
