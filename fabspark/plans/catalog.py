@@ -33,4 +33,5 @@ def load_all() -> None:
     from . import (  # noqa: F401
         wafer_queries,
         yield_queries,
+        profile_queries,
     )
