@@ -34,4 +34,5 @@ def load_all() -> None:
         wafer_queries,
         yield_queries,
         profile_queries,
+        evaluate_queries,
     )
