@@ -14,7 +14,9 @@ curves over distinct scores that is fine at 100 rows and fatal at 10^9.
 
 ``next_cols`` also returns the value of the following row in the same order
 (``lead``), stitched across range boundaries through the small range table.
-The ordering column must be unique within a group (pre-aggregate ties first).
+The ordering column should be unique within a group; otherwise pass
+``tie_cols`` — equal values always fall in the same range, so ordering by
+(order_col, tie_cols) inside a range gives a deterministic total order.
 """
 from __future__ import annotations
 
@@ -27,7 +29,8 @@ TARGET_ROWS = 2_000_000
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=(), descending: bool = True,
-                 target_rows: int = TARGET_ROWS, next_cols: list[str] | None = None) -> DataFrame:
+                 target_rows: int = TARGET_ROWS, next_cols: list[str] | None = None,
+                 tie_cols: list[str] | None = None) -> DataFrame:
     group_cols = list(group_cols)
     next_cols = list(next_cols or [])
     n_max = (df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) if group_cols else df.count()
@@ -47,7 +50,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
         d = d.withColumn("_rb", rb).drop("_cuts")
     if descending:
         d = d.withColumn("_rb", F.lit(nb - 1) - F.col("_rb"))          # range 0 = highest values
-    ordered = o.desc() if descending else o.asc()
+    ordered = [o.desc() if descending else o.asc()] + [F.col(c).asc() for c in (tie_cols or [])]
     # per-range totals and the first row of each range (for lead across ranges)
     first_row = F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(0)]), -o if descending else o) \
         if next_cols else F.lit(None)
@@ -59,7 +62,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
                         .alias(f"_o_{c}") for c in sum_cols],
                       F.lead("_first").over(wr).alias("_next_first"))
     d = d.join(offs, group_cols + ["_rb"])
-    wl = Window.partitionBy(*group_cols, "_rb").orderBy(ordered)
+    wl = Window.partitionBy(*group_cols, "_rb").orderBy(*ordered)
     out = d
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_o_{c}"))

@@ -35,4 +35,5 @@ def load_all() -> None:
         yield_queries,
         profile_queries,
         evaluate_queries,
+        sensor_queries,
     )

@@ -13,6 +13,10 @@ def h(expr: str) -> str:
     return H.format(expr)
 
 
+def h60(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR)), 1, 15)) AS BIGINT)"
+
+
 CTE: dict[str, str] = {}
 DEPS: dict[str, list[str]] = {}
 
@@ -60,6 +64,11 @@ _add("slong", f"""
   FROM embeddings e CROSS JOIN range(64) AS t(i)""")
 _add("units", "SELECT DISTINCT unit_id, y, ts FROM slong", ["slong"])
 
+_add("dense", """
+  SELECT vec_id AS unit_id, CAST(label = 0 AS INTEGER) AS y,
+         list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS x
+  FROM embeddings""")
+
 # F3 -------------------------------------------------------------------------
 _add("scored", f"""
   SELECT event_id AS id, CAST(event_type = 'error' AS INTEGER) AS y,

@@ -184,3 +184,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit('{"wafer_map":[0,1],"target_yield":0.8}')))
     payload = F.when(k % 7 == 0, F.lit("{}")).otherwise(by6)
     return ev.select(F.col("event_id").alias("request_id"), payload.alias("payload"))
+
+
+def dense_sensors(spark: SparkSession, sf_dir: str, width: int = 16) -> DataFrame:
+    """``(unit_id, y, x array<double>[width])`` without missing values (the first
+    ``width`` embedding dimensions): the input of the k-NN based resamplers."""
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col("embedding"), i).cast("double"))
+    return emb.select(F.col("vec_id").alias("unit_id"), (F.col("label") == 0).cast("int").alias("y"), x.alias("x"))
