@@ -36,4 +36,5 @@ def load_all() -> None:
         profile_queries,
         evaluate_queries,
         sensor_queries,
+        route_queries,
     )
