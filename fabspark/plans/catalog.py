@@ -37,4 +37,5 @@ def load_all() -> None:
         evaluate_queries,
         sensor_queries,
         route_queries,
+        ingest_queries,
     )
