@@ -38,4 +38,5 @@ def load_all() -> None:
         sensor_queries,
         route_queries,
         ingest_queries,
+        train_queries,
     )
