@@ -39,4 +39,5 @@ def load_all() -> None:
         route_queries,
         ingest_queries,
         train_queries,
+        stream_queries,
     )
