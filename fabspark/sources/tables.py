@@ -19,10 +19,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all cores when it has fewer partitions than the
+    session's parallelism (e.g. one small file with one row group). On large
+    inputs (many files / row groups) the scan is already wide and nothing is
+    added, so this never costs a shuffle at scale."""
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < max(2, target // 2):
+            return df.repartition(target)
+    except Exception:  # noqa: BLE001 — e.g. a client session without RDD access
+        pass
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+               columns: list[str] | tuple[str, ...] | None = None, widen: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
     configure(spark)
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if widen else df
