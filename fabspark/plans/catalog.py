@@ -40,4 +40,5 @@ def load_all() -> None:
         ingest_queries,
         train_queries,
         stream_queries,
+        inventory_queries,
     )
