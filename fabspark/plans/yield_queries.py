@@ -108,6 +108,8 @@ def _jon02(spark, sf):
 
 
 @register("mdl_08_covariance", rsql(with_ctes(["wafers"], f"""
+  SELECT model, d0, alpha, sqrt(var_d0) AS se_d0, sqrt(var_alpha) AS se_alpha,
+         cov_d0_alpha / sqrt(var_d0 * var_alpha) AS corr_d0_alpha FROM (
   SELECT model, d0, alpha,
          CASE WHEN alpha IS NULL THEN 1.0 / a ELSE c / (a * c - b * b) END AS var_d0,
          CASE WHEN alpha IS NOT NULL THEN a / (a * c - b * b) END AS var_alpha,
@@ -123,10 +125,15 @@ def _jon02(spark, sf):
                 CASE WHEN f.model = 'negative_binomial' THEN pow(1 + f.d0 * p.area / f.alpha, -f.alpha)
                      * (-ln(1 + f.d0 * p.area / f.alpha) + (f.d0 * p.area / f.alpha) / (1 + f.d0 * p.area / f.alpha)) END AS j1
               FROM pts p, fits f)
-        GROUP BY model, d0, alpha)""", _CURVE_CTES + _FITS), ["d0", "alpha", "var_d0", "var_alpha", "cov_d0_alpha"]))
+        GROUP BY model, d0, alpha))""", _CURVE_CTES + _FITS), ["d0", "alpha", "se_d0", "se_alpha", "corr_d0_alpha"]))
 def _mdl08(spark, sf):
+    # standard errors and the correlation: well conditioned even when alpha sits at its bound
     curve, fits = _grid_pipeline(spark, sf)
-    return round_doubles(YF.covariance(curve, fits))
+    c = YF.covariance(curve, fits)
+    return round_doubles(c.select("model", "d0", "alpha", F.sqrt("var_d0").alias("se_d0"),
+                                  F.sqrt("var_alpha").alias("se_alpha"),
+                                  (F.col("cov_d0_alpha") / F.sqrt(F.col("var_d0") * F.col("var_alpha")))
+                                  .alias("corr_d0_alpha")))
 
 
 # ------------------------------------------------------- forward / inverse
