@@ -51,6 +51,15 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     if descending:
         d = d.withColumn("_rb", F.lit(nb - 1) - F.col("_rb"))          # range 0 = highest values
     ordered = [o.desc() if descending else o.asc()] + [F.col(c).asc() for c in (tie_cols or [])]
+    if nb == 1:
+        # one range (at most target_rows rows per group): no offsets, no stitching
+        wl = Window.partitionBy(*group_cols).orderBy(*ordered)
+        out = df
+        for c in sum_cols:
+            out = out.withColumn(f"cum_{c}", F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+        for c in next_cols:
+            out = out.withColumn(f"next_{c}", F.lead(c).over(wl))
+        return out
     # per-range totals and the first row of each range (for lead across ranges)
     first_row = F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(0)]), -o if descending else o) \
         if next_cols else F.lit(None)
