@@ -50,16 +50,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
-    The location comes from ``spark.checkpoint.dir`` as set by the cluster. Only
-    when it is unset (local tests) do we pick one under /tmp and register it.
+    The location is read from ``spark.checkpoint.dir`` (or the context's
+    checkpoint dir). Only when neither is configured (a bare local session,
+    e.g. a test) is a folder under /tmp registered as the checkpoint dir.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = f"/tmp/fabspark-ckpt-{uuid.uuid4().hex[:8]}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,7 +12,6 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from fabspark.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="fabspark-test-ckpt-", dir="/tmp")})
+    s = build_session("local[4]", shuffle_partitions=4)   # checkpoint dir: environment's, or shared_dir's fallback
     yield s
     s.stop()
