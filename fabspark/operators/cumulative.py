@@ -2,15 +2,18 @@
 
 ``Window.orderBy(x)`` with no partition moves every row into one task. For
 curves over distinct scores that is fine at 100 rows and fatal at 10^9.
-``running_sums`` instead:
+``running_sums``:
 
-1. cuts the ordering column into ``nb`` ranges per group with approximate
-   quantile cut points (``nb`` = rows / ``target_rows``; bounded, collected
-   per group as one small array);
-2. sums each range (one row per group x range) and turns those into exclusive
-   prefix offsets (a window over the small range table);
-3. runs the running sum inside each range (window partitioned by group and
-   range: each task holds ~``target_rows`` rows) and adds the offset.
+* groups of at most ``target_rows`` rows: one window partition per group
+  (bounded by construction);
+* a sequence longer than that (no grouping, or one of the few oversized
+  groups — at most n / target_rows of them): approximate-quantile cut points
+  split it into ranges of ~``target_rows`` rows; rows find their range by
+  binary search (``Bucketizer``, JVM); per-range totals (one row per range)
+  become exclusive prefix offsets; the running sum runs inside each range
+  (window partitioned by range) and adds its offset;
+* pathological inputs with very many oversized groups use per-group cut
+  arrays instead (``_ranged_grouped``).
 
 ``next_cols`` also returns the value of the following row in the same order
 (``lead``), stitched across range boundaries through the small range table.
@@ -28,50 +31,97 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 2_000_000
 
 
+MAX_RANGES = 50_000          # cut points kept on the driver (one double each)
+MAX_BIG_GROUPS = 256         # groups handled one by one through the range path
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=(), descending: bool = True,
                  target_rows: int = TARGET_ROWS, next_cols: list[str] | None = None,
                  tie_cols: list[str] | None = None) -> DataFrame:
     group_cols = list(group_cols)
     next_cols = list(next_cols or [])
-    n_max = (df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0) if group_cols else df.count()
-    nb = max(1, math.ceil(n_max / target_rows))
+    tie_cols = list(tie_cols or [])
+    if not group_cols:
+        return _ranged(df, order_col, sum_cols, df.count(), descending, target_rows, next_cols, tie_cols)
+    counts = df.groupBy(*group_cols).agg(F.count("*").alias("_n"))
+    big = counts.filter(F.col("_n") > target_rows).limit(MAX_BIG_GROUPS + 1).collect()
+    if len(big) > MAX_BIG_GROUPS:
+        return _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols,
+                               counts.agg(F.max("_n")).first()[0])
+    # groups of at most target_rows rows: one window partition per group (bounded)
+    big_keys = df.sparkSession.createDataFrame([tuple(r[g] for g in group_cols) for r in big],
+                                               counts.select(*group_cols).schema) if big else None
+    small = df.join(F.broadcast(big_keys), group_cols, "left_anti") if big else df
+    out = _single_range(small, order_col, sum_cols, group_cols, descending, next_cols, tie_cols)
+    for r in big:        # each oversized group: exact ranges of its own (at most MAX_BIG_GROUPS)
+        cond = None
+        for g in group_cols:
+            c = F.col(g) == F.lit(r[g])
+            cond = c if cond is None else cond & c
+        part = _ranged(df.filter(cond), order_col, sum_cols, r["_n"], descending, target_rows, next_cols, tie_cols)
+        out = out.unionByName(part)
+    return out
+
+
+def _ordering(order_col, descending, tie_cols):
     o = F.col(order_col)
+    return [o.desc() if descending else o.asc()] + [F.col(c).asc() for c in tie_cols]
+
+
+def _single_range(df, order_col, sum_cols, group_cols, descending, next_cols, tie_cols):
+    wl = Window.partitionBy(*group_cols).orderBy(*_ordering(order_col, descending, tie_cols))
+    out = df
+    for c in sum_cols:
+        out = out.withColumn(f"cum_{c}", F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    for c in next_cols:
+        out = out.withColumn(f"next_{c}", F.lead(c).over(wl))
+    return out
+
+
+def _ranged(df, order_col, sum_cols, n, descending, target_rows, next_cols, tie_cols):
+    """One ordered sequence: ranges from approximate-quantile cut points,
+    assigned per row by binary search (``Bucketizer``)."""
+    nb = max(1, min(MAX_RANGES, math.ceil(n / target_rows)))
     if nb == 1:
-        d = df.withColumn("_rb", F.lit(0))
-    else:
-        probs = [i / nb for i in range(1, nb)]
-        pa = F.percentile_approx(order_col, probs, 10_000)
-        if group_cols:
-            cuts = df.groupBy(*group_cols).agg(pa.alias("_cuts"))   # one small array per group
-            d = df.join(cuts, group_cols)
-        else:                                                        # nb - 1 numbers
-            d = df.withColumn("_cuts", F.array(*[F.lit(v) for v in df.agg(pa).first()[0]]))
-        rb = F.size(F.filter(F.col("_cuts"), lambda c: c < o))       # ascending range index
-        d = d.withColumn("_rb", rb).drop("_cuts")
+        return _single_range(df, order_col, sum_cols, [], descending, next_cols, tie_cols)
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / nb for i in range(1, nb)]
+    cuts = sorted(set(float(v) for v in df.agg(F.percentile_approx(order_col, probs, 10_000)).first()[0]))
+    splits = [-float("inf")] + cuts + [float("inf")]
+    # Bucketizer puts v in [s_i, s_i+1): bucket of v = number of cuts <= v
+    d = Bucketizer(splits=splits, inputCol="_ov", outputCol="_rbd", handleInvalid="keep").transform(
+        df.withColumn("_ov", F.col(order_col).cast("double")))
+    d = d.withColumn("_rb", F.col("_rbd").cast("int")).drop("_ov", "_rbd")
+    return _stitch(d, order_col, sum_cols, [], descending, len(splits) - 1, next_cols, tie_cols)
+
+
+def _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols, n_max):
+    """Many oversized groups: per-group cut arrays, range = count of cuts <= v."""
+    nb = max(1, min(MAX_RANGES, math.ceil(n_max / target_rows)))
+    probs = [i / nb for i in range(1, nb)]
+    cuts = df.groupBy(*group_cols).agg(F.percentile_approx(order_col, probs, 10_000).alias("_cuts"))
+    o = F.col(order_col)
+    d = (df.join(cuts, group_cols)
+         .withColumn("_rb", F.size(F.filter(F.col("_cuts"), lambda c: c <= o))).drop("_cuts"))
+    return _stitch(d, order_col, sum_cols, group_cols, descending, nb, next_cols, tie_cols)
+
+
+def _stitch(d, order_col, sum_cols, group_cols, descending, nb, next_cols, tie_cols):
+    """Per-range totals -> exclusive prefix offsets -> window inside each range."""
+    o = F.col(order_col)
     if descending:
         d = d.withColumn("_rb", F.lit(nb - 1) - F.col("_rb"))          # range 0 = highest values
-    ordered = [o.desc() if descending else o.asc()] + [F.col(c).asc() for c in (tie_cols or [])]
-    if nb == 1:
-        # one range (at most target_rows rows per group): no offsets, no stitching
-        wl = Window.partitionBy(*group_cols).orderBy(*ordered)
-        out = df
-        for c in sum_cols:
-            out = out.withColumn(f"cum_{c}", F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
-        for c in next_cols:
-            out = out.withColumn(f"next_{c}", F.lead(c).over(wl))
-        return out
-    # per-range totals and the first row of each range (for lead across ranges)
     first_row = F.min_by(F.struct(*[F.col(c) for c in next_cols] or [F.lit(0)]), -o if descending else o) \
         if next_cols else F.lit(None)
     tot = d.groupBy(*group_cols, "_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
                                             first_row.alias("_first"))
-    wr = Window.partitionBy(*group_cols).orderBy("_rb")
+    wr = Window.partitionBy(*group_cols).orderBy("_rb")       # one row per (group, range): small
     offs = tot.select(*group_cols, "_rb",
                       *[F.coalesce(F.sum(f"_t_{c}").over(wr.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                         .alias(f"_o_{c}") for c in sum_cols],
                       F.lead("_first").over(wr).alias("_next_first"))
     d = d.join(offs, group_cols + ["_rb"])
-    wl = Window.partitionBy(*group_cols, "_rb").orderBy(*ordered)
+    wl = Window.partitionBy(*group_cols, "_rb").orderBy(*_ordering(order_col, descending, tie_cols))
     out = d
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(wl.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_o_{c}"))

@@ -55,6 +55,16 @@ def test_running_sums_multi_range_matches_cumsum(spark):
         assert np.isnan(got["next_v"].to_numpy()[-1])
 
 
+def test_running_sums_many_oversized_groups(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": np.repeat(np.arange(300), 5), "o": rng.permutation(1500).astype(float),
+                        "v": rng.integers(0, 5, 1500)})
+    out = running_sums(spark.createDataFrame(pdf), "o", ["v"], ["g"], descending=False, target_rows=2).toPandas()
+    exp = pdf.sort_values("o").assign(cum=lambda d: d.groupby("g")["v"].cumsum())
+    got = out.set_index("o").loc[exp["o"]]
+    assert (got["cum_v"].to_numpy() == exp["cum"].to_numpy()).all()
+
+
 def test_temporal_fixture_check(spark):
     t = P.temporal_failure_rate(FX.timeline(spark, SF01, drop_days=True)).cache()
     assert t.count() == 30
