@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -49,6 +50,7 @@ DEFAULT_PARAMS = {
     "xgboost": {"n_estimators": 400, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.9,
                 "colsample_bytree": 0.8},
 }
+ROWS_PER_PARTITION = 250_000
 DEFAULT_CONFIGS = [("logreg", "smote_enn"), ("logreg", "class_weight"), ("balanced_rf", "none"),
                    ("hist_gb", "class_weight"), ("xgboost", "none")]
 
@@ -137,8 +139,19 @@ def fit_sensor_model(train: DataFrame, estimator: str = "logreg", strategy: str
         f = plan.sampler(f).select("unit_id", y, "features")
     f = (f.withColumn("weight", _weight_col(y, weights)).withColumn("label", F.col(y).cast("double"))
          .withColumn("features_vec", array_to_vector("features")))
-    sum_w = f.agg(F.sum("weight")).first()[0]
-    model = build_estimator(estimator, params, sum_w, seed).fit(f)
+    st = f.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
+    # iterative estimators run one job per iteration: size partitions to the data
+    # (about ROWS_PER_PARTITION rows each); large inputs keep their partitioning
+    want = max(1, -(-st["n"] // ROWS_PER_PARTITION))
+    if want < f.rdd.getNumPartitions():
+        f = f.coalesce(want)
+    # iterative fits re-read their input every iteration: keep it materialised
+    # (memory, spilling to disk) for the fit only
+    f = f.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = build_estimator(estimator, params, st["w"], seed).fit(f)
+    finally:
+        f.unpersist()
     return SensorModel(prep, model, estimator, strategy, metadata={"params": dict(params or {})})
 
 
