@@ -16,8 +16,8 @@ def h32(s: Column | str) -> Column:
 
 
 def h60(s: Column | str) -> Column:
-    """60-bit md5 prefix (15 hex digits) — fits a signed long, sums stay exact
-    up to 2^3 rows per bit of headroom, so we combine with bit_xor as well."""
+    """60-bit md5 prefix (15 hex digits) as a non-negative long: seeded order
+    keys with negligible collision odds (ties are broken by id anyway)."""
     col = F.col(s) if isinstance(s, str) else s
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 15), 16, 10).cast("bigint")
 

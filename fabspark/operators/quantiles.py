@@ -16,7 +16,9 @@ narrowing a value bracket:
    value): those are collected, sorted and indexed.
 
 Every pass is a grouped aggregation with map-side partial aggregation; the
-driver only counts open brackets. Passes needed ~ log_buckets(n / max_collect).
+driver only counts open brackets; the bracket table (one row per wanted
+order statistic) is checkpointed each pass. Passes needed ~
+log_buckets(n / max_collect).
 """
 from __future__ import annotations
 
@@ -24,6 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_COLLECT = 50_000
 BUCKETS = 4096
 MAX_PASSES = 12
@@ -64,10 +68,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                             & (F.col("rank") < F.col("below") + F.col("cum")))
                 .select(*keys, "rank", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
                         (F.col("below") + F.col("cum") - F.col("c")).alias("below"), F.col("c").alias("cnt")))
-        nxt = br.filter(done).unionByName(pick).cache()
-        nxt.count()
-        br.unpersist()
-        br = nxt
+        # iterative: cut the lineage of the (small) bracket table at every pass
+        # with a reliable checkpoint in the shared checkpoint folder
+        br = cut_lineage(br.filter(done).unionByName(pick))
     final = (x.join(br, keys)
              .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
              .groupBy(*keys, "rank", "below", "lo", "hi")
