@@ -25,18 +25,26 @@ LABELS = (-1, 1)
 
 
 def read_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
-    """``(line_idx, value)`` with the exact 0-based line position across the files of ``path``."""
+    """``(line_idx, value)`` with the exact 0-based line position across the
+    files of ``path``; blank lines are skipped (as whitespace-table readers do)
+    and the remaining lines renumbered densely."""
     raw = (spark.read.text(path)
            .select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                    F.monotonically_increasing_id().alias("_m")))
-    if skip_blank:
-        raw = raw.filter(F.trim("value") != "")
     blocks = raw.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     # one row per file block: a small table, ordered by (file, block start)
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = blocks.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (raw.join(F.broadcast(offs), ["_f", "_b"])
-            .select((F.col("_off") + F.col("_m") - F.col("_m0")).alias("line_idx"), "value"))
+    out = (raw.join(F.broadcast(offs), ["_f", "_b"])
+           .select((F.col("_off") + F.col("_m") - F.col("_m0")).alias("line_idx"), "value"))
+    if skip_blank:
+        blank = F.trim("value") == ""
+        if out.filter(blank).limit(1).count():          # renumber only when blank lines exist
+            from ..operators.cumulative import running_sums
+            kept = out.filter(~blank).withColumn("_one", F.lit(1).cast("long"))
+            out = running_sums(kept, "line_idx", ["_one"], descending=False).select(
+                (F.col("cum__one") - 1).alias("line_idx"), "value")
+    return out
 
 
 def parse_values(value: Column) -> Column:
