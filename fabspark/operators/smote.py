@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +77,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: st
         exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(qid, slot, nid, dist, nlabel)``: the k nearest reference rows of every
     query row by Euclidean distance (ties by neighbour id), slot 0..k-1."""
-    nq, nr = query.count(), ref.count()
+    nq = query.count()
+    nr = nq if ref is query else ref.count()
     bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
     hq = F.pmod(h60(F.col(id_col)), F.lit(bq))
     hr = F.pmod(h60(F.col(id_col)), F.lit(br))
@@ -210,11 +212,17 @@ def tomek_filter(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str =
     return df.join(links, id_col, "left_anti")
 
 
+def _materialised(df: DataFrame) -> DataFrame:
+    """The SMOTE output feeds the cleaning step three times (counts, k-NN
+    query and reference, final anti join): compute it once."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def smote_enn(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-08 (a non-default sampling ratio is not passed on, as in the reference)."""
-    return enn_filter(smote(df, y, id_col, x, seed=seed), y, id_col, x)
+    return enn_filter(_materialised(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
 
 
 def smote_tomek(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-09."""
-    return tomek_filter(smote(df, y, id_col, x, seed=seed), y, id_col, x)
+    return tomek_filter(_materialised(smote(df, y, id_col, x, seed=seed)), y, id_col, x)

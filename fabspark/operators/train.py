@@ -50,7 +50,6 @@ DEFAULT_PARAMS = {
     "xgboost": {"n_estimators": 400, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.9,
                 "colsample_bytree": 0.8},
 }
-ROWS_PER_PARTITION = 250_000
 DEFAULT_CONFIGS = [("logreg", "smote_enn"), ("logreg", "class_weight"), ("balanced_rf", "none"),
                    ("hist_gb", "class_weight"), ("xgboost", "none")]
 
@@ -139,17 +138,12 @@ def fit_sensor_model(train: DataFrame, estimator: str = "logreg", strategy: str
         f = plan.sampler(f).select("unit_id", y, "features")
     f = (f.withColumn("weight", _weight_col(y, weights)).withColumn("label", F.col(y).cast("double"))
          .withColumn("features_vec", array_to_vector("features")))
-    st = f.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-    # iterative estimators run one job per iteration: size partitions to the data
-    # (about ROWS_PER_PARTITION rows each); large inputs keep their partitioning
-    want = max(1, -(-st["n"] // ROWS_PER_PARTITION))
-    if want < f.rdd.getNumPartitions():
-        f = f.coalesce(want)
-    # iterative fits re-read their input every iteration: keep it materialised
-    # (memory, spilling to disk) for the fit only
+    # the (resampled) training frame feeds several passes (stats, then every
+    # optimiser iteration): materialise it once, spilling to disk if needed
     f = f.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = build_estimator(estimator, params, st["w"], seed).fit(f)
+        sum_w = f.agg(F.sum("weight")).first()[0]
+        model = build_estimator(estimator, params, sum_w, seed).fit(f)
     finally:
         f.unpersist()
     return SensorModel(prep, model, estimator, strategy, metadata={"params": dict(params or {})})
@@ -165,19 +159,29 @@ def _fold_metrics(scored: DataFrame, y: str = "y") -> dict:
 
 
 def cross_validate(train: DataFrame, estimator: str, strategy: str, k: int = 5, params: dict | None = None,
-                   seed: int = SEED, y: str = "y", k_features: int | None = None):
+                   seed: int = SEED, y: str = "y", k_features: int | None = None, parallel_folds: int | None = None):
     """TRN-05 / TRN-08: per-fold metrics (7 scorers) and the out-of-fold scores
-    of every training row. Returns (fold_metrics DataFrame, oof DataFrame)."""
+    of every training row. Returns (fold_metrics DataFrame, oof DataFrame).
+
+    Folds are independent Spark jobs; they are submitted from ``parallel_folds``
+    driver threads (default: all k) so small jobs overlap on the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
     spark = train.sparkSession
     weights = _weights(class_counts(train, y), strategy, estimator)
     folded = stratified_folds(train, k, y, "unit_id", seed).cache()
-    rows, oof = [], None
-    for i in range(k):
+
+    def run_fold(i):
         m = fit_sensor_model(folded.filter(F.col("fold") != i), estimator, strategy, params, weights, seed,
                              k_features, y)
         val = m.score(folded.filter(F.col("fold") == i)).select("unit_id", y, "score", F.lit(i).alias("fold"))
         val = val.cache()
-        rows.append((i, *[float(v) if v is not None else None for v in _fold_metrics(val, y).values()]))
+        return (i, *[float(v) if v is not None else None for v in _fold_metrics(val, y).values()]), val
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_folds or k)) as pool:
+        results = list(pool.map(run_fold, range(k)))
+    rows = [r for r, _ in results]
+    oof = None
+    for _, val in results:
         oof = val if oof is None else oof.unionByName(val)
     metrics = spark.createDataFrame(rows, "fold int, " + ", ".join(f"{s} double" for s in SCORERS))
     return metrics, oof
