@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, packing, sharding, token_files
+from . import (
+    decontaminate, language, licenses, line_rules, packing, resampling, secrets_scan, sharding, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,44 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, good: of good quality and not toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+
+
+@query("op3_importance_resampling")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), good_labels(spark, sf_dir))
+
+
+# Lines are normalised as in the operator; verdict by documents per (host, line).
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, host, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
+tri AS (SELECT doc_id, p, words[p] || ' ' || words[p+1] || ' ' || words[p+2] AS run FROM w, unnest(range(1, len(words) - 1)) AS t(p)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, run) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM again) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+       FROM (SELECT doc_id, host, unnest(lines) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY doc_id),
+freq AS (SELECT host, norm FROM ln GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n FROM ln JOIN freq USING (host, norm) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+             CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 2 * removed_words <= n_words AS kept FROM b
+""".replace("\\\\", "\\")
+
+
+@query("op4_line_frequency_rules", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(documents(spark, sf_dir), host="source", max_documents=20)
+
+
 @query("op5_prefix_sum_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir)).select(
@@ -76,6 +115,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op8_ecoc_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # crc32 of a null id's text is null: such a row is not held out
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", fold.alias("held_out"))
+    model = language.learn(docs.where(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "text", "held_out"), model)
+
+
 @query("op9_bit_packed_tokens")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer="word_bpe_49k.json", end_id=2)
+
+
+@query("op10_markov_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")
+    found = secrets_scan.find_secrets(docs, secrets_scan.train(docs))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets_scan.KINDS.index(kind))).cast("long")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+                        F.sha2(secrets_scan.as_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets_scan.as_text(F.col("spans")).alias("spans"))
