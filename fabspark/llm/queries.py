@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    decontaminate, language, licenses, line_rules, packing, resampling, secrets_scan, sharding, token_files)
+    decontaminate, jaccard_join, language, licenses, line_rules, packing, resampling, secrets_scan, sharding, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, good: of good quality and not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -107,11 +107,10 @@ def find_secrets(docs: DataFrame, table: list[float], log_prior: float = math.lo
     bare = lambda spans: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.sort_array(bare(F.concat(_spans("assign", ASSIGN, ASSIGN_VALUE), _spans("access", ACCESS), _spans("hex", HEX))))
-    found = docs.select("*", F.struct(base.alias("base"), bare(_markov(table, log_prior)).alias("markov")).alias("_found"))
+    found = docs.select("*", base.alias("base"), bare(_markov(table, log_prior)).alias("_markov"))
     # a run that a base span already covers in part is not told twice
-    fresh = F.filter("_found.markov", lambda m: ~F.exists(
-        "_found.base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumns({"base": F.col("_found.base"), "spans": F.sort_array(F.concat("_found.base", fresh))}).drop("_found")
+    fresh = F.filter("_markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn("spans", F.sort_array(F.concat("base", fresh))).drop("_markov")
 
 
 def as_text(spans: Column) -> Column:
