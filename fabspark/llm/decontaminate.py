@@ -12,7 +12,7 @@ into several automata that scan one after another (same result, no shuffle).
 
 Defined cases: a null or empty text has no words and no hit; a null or empty
 item has no window; a null item_id still hits but is not listed; items repeated
-under the same id count once; extra columns are ignored; empty tables work.
+under the same id count once; an input column named like a result column is replaced; empty tables work.
 """
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import ALNUM_WORDS, code_points, split_words, texts_as_bytes, word_starts
 
+RESULT = ("n_words", "n_hit", "items", "spans", "_ranges", "_items")
 _AUTOMATA: dict[str, ahocorasick.Automaton | None] = {}   # per worker, by broadcast
 
 
@@ -114,6 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """``docs`` with n_words, n_hit (words inside any occurrence of a window),
     items (ids with occurring windows, sorted) and spans (code points, merged)."""
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                              F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -134,5 +136,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any benchmark window; columns unchanged."""
-    return find_leaks(docs, benchmark, window).where("n_hit = 0").select(*docs.columns)
+    """The documents without any benchmark window; columns unchanged, whatever their names."""
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    found = find_leaks(plain, benchmark, window).where("n_hit = 0")
+    return found.select(*[F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns)])

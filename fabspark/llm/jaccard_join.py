@@ -304,7 +304,7 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component: the one whose id names it. Documents without
     words or without doc_id stay; a row repeated whole is kept once."""
     stays = join_components(docs, n, percent).where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("_kept")).where("_kept IS NOT NULL").distinct()
+    stays = stays.select(F.col("doc_id").alias("_llm_kept")).where("_llm_kept IS NOT NULL").distinct()
     named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(stays, named["doc_id"].cast("long") == stays["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = named.join(stays, named["doc_id"].cast("long") == stays["_llm_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.union(docs.where("doc_id IS NULL"))

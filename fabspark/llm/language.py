@@ -152,6 +152,7 @@ def _bit_weights(rows: DataFrame, model: Model, share: float) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the winner), ambiguous, and passed-on columns but text."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")        # an input column named like a result is replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)     # buckets x bits, bounded by the languages
     passed = [c for c in docs.columns if c != "text"]
 

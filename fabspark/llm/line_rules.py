@@ -121,10 +121,14 @@ def apply_rules(docs: DataFrame, host: str = "source", max_documents: int = 20)
 
 def clean(docs: DataFrame, host: str = "source", max_documents: int = 20) -> DataFrame:
     """``docs`` that are kept, their frequent lines taken out of the text."""
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+    host = plain.columns[docs.columns.index(host)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    verdict = apply_rules(docs, host, max_documents).where("kept").select("doc_id").distinct()
-    lost = removed_lines(docs, host, max_documents).drop("removed_words")
-    kept = _joined(docs.withColumn("_text", F.xxhash64(text)), lost).join(verdict, "doc_id", "left_semi")
+    kept = apply_rules(plain, host, max_documents).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    lost = removed_lines(plain, host, max_documents).drop("removed_words")
+    rows = _joined(plain.withColumn("_text", F.xxhash64(text)), lost)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     left = F.filter(F.split(text, "\n", -1),
                     lambda line: ~F.coalesce(F.array_contains("removed", F.xxhash64(_normal(line))), F.lit(False)))
-    return kept.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    rows = rows.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    return rows.select(*[F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns)])

@@ -7,7 +7,7 @@ characters: one of random strings, one of ordinary identifiers. A run whose
 log-likelihood ratio beats the prior odds is a span of kind ``markov``.
 
 The models are trained from labelled samples: values of the base patterns in all
-documents, against the other identifier runs of a bounded sample of documents.
+documents, against the shorter identifier runs of a bounded sample of documents.
 Only transition counts (63 x 63 for each label) reach the driver.
 
 Defined cases: null text counts as empty; a corpus without any secret leaves the
@@ -28,7 +28,8 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN_VALUE = 12                     # shortest value that counts
 RUN = r"[A-Za-z0-9+/_=-]{20,}"        # candidates of the Markov models
-IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"  # trains the model of ordinary identifiers
+IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"  # trains the model of ordinary identifiers, if shorter than
+LONG = 20                             # a candidate: those are what the models judge
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 STATES = len(ALPHABET) + 1            # the last state is any other character
@@ -75,7 +76,8 @@ def train(docs: DataFrame, sample_documents: int = 5000) -> list[float]:
     total = docs.count()
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_text(), ASSIGN, " "), ACCESS, " "), HEX, " ")
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_documents / max(1, total))))
-    plain = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("secret"))
+    plain = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("secret")).where(
+        F.length("token") < LONG)
     counted = (secret.unionByName(plain).select("secret", F.explode(_transitions(F.col("token"))).alias("pair"))
                      .groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n")).collect())   # at most 2 x 63 x 63 rows
     counts = {True: [0.0] * STATES ** 2, False: [0.0] * STATES ** 2}
@@ -104,6 +106,7 @@ def _markov(table: list[float], log_prior: float) -> Column:
 
 def find_secrets(docs: DataFrame, table: list[float], log_prior: float = math.log(1e-4)) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end) in order."""
+    docs = docs.drop("base", "spans", "_markov")         # an input column named like a result is replaced
     bare = lambda spans: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.sort_array(bare(F.concat(_spans("assign", ASSIGN, ASSIGN_VALUE), _spans("access", ACCESS), _spans("hex", HEX))))
