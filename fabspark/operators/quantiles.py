@@ -30,7 +30,7 @@ from ..session import cut_lineage
 
 MAX_COLLECT = 50_000
 BUCKETS = 4096
-MAX_PASSES = 12
+LARGEST = 1.7976931348623157e308      # infinities count as this, halved so that widths stay finite
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -51,12 +51,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     br = ranks.select(*keys, "rank", "lo", "hi", F.lit(0).cast("long").alias("below"),
                       F.col("n").alias("cnt")).cache()
     done = (F.col("cnt") <= max_collect) | (F.col("lo") == F.col("hi"))
-    for _ in range(MAX_PASSES):
-        if br.filter(~done).limit(1).count() == 0:
-            break
+    # lo falls into the first bucket and hi into the last, so every pass narrows each open
+    # bracket. Brackets over many magnitudes are cut on a signed log scale, others evenly:
+    # a few passes reach one value whatever the spread, and the loop ends by itself
+    while br.filter(~done).limit(1).count():
         open_ = br.filter(~done)
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("_v") - F.col("lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+        lo, hi, v = (F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col(c))) for c in ("lo", "hi", "_v"))
+        magnitude = lambda c: F.when(c == 0, 0.0).otherwise(F.signum(c) * (F.log2(F.abs(c)) + 1100))
+        wide = (lo < hi) & (((lo <= 0) & (hi >= 0)) | (F.abs(lo) / 4 > F.abs(hi)) | (F.abs(hi) / 4 > F.abs(lo)))
+        share = (F.when(wide, (magnitude(v) - magnitude(lo)) / (magnitude(hi) - magnitude(lo)))
+                 .when(lo < hi, (v / 2 - lo / 2) / (hi / 2 - lo / 2))
+                 .otherwise((F.col("_v") > F.col("lo")).cast("double")))
+        bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
         hist = (x.join(open_, keys)
                 .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
                 .withColumn("b", bucket)

@@ -29,6 +29,7 @@ from .split import SEED, class_counts, seeded_rank
 from .resample import minority_majority
 
 BLOCK_ROWS = 4096
+QUOTA_PIECE = 1000            # draws exploded from one row at once
 U_BITS = 2 ** 20
 
 
@@ -61,7 +62,7 @@ def _topk_block(k: int, exclude_self: bool):
             cand = part.ravel()
             dist = d[rows, cand]
             # keep every reference at the k-th distance too, so id tie-breaks stay exact
-            kth = np.sort(d, axis=1)[:, kk - 1] if kk < R.shape[0] else np.full(d.shape[0], np.inf)
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1] if kk < R.shape[0] else np.full(d.shape[0], np.inf)
             extra_r, extra_c = np.nonzero((d == kth[:, None]) & np.isfinite(d))
             rows = np.concatenate([rows, extra_r])
             cand = np.concatenate([cand, extra_c])
@@ -89,7 +90,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: st
                     hr.alias("rb"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
          .withColumn("pair", F.col("qb") * br + F.col("rb")).drop("qb", "rb"))
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
+    id_type = query.schema[id_col].dataType
+    schema = T.StructType([T.StructField("qid", id_type), T.StructField("nid", id_type),
                            T.StructField("dist", T.DoubleType()), T.StructField("nlabel", T.LongType())])
     cand = (q.groupBy("pair").cogroup(r.groupBy("pair"))
             .applyInPandas(lambda a, b: _topk_block(k, exclude_self)(a.drop(columns=["pair"]),
@@ -121,10 +123,18 @@ def _materialise(draws, seeds, minority, nn, id_col, x, y, label):
     nnl = nn.select(F.col("qid").alias("sid"), "slot", "nid")
     g = draws.join(s, "srank").join(nnl, ["sid", "slot"]).join(m, "nid")
     new_x = F.zip_with("sx", "nx", lambda a, b: a + F.col("u") * (b - a))
-    return g.select((-(F.col("draw") + 1)).alias(id_col), F.lit(label).alias(y), new_x.alias(x),
+    own = -(F.col("draw") + 1)
+    if isinstance(seeds.schema[id_col].dataType, T.StringType):
+        own = F.concat(F.lit("synthetic"), own.cast("string"))
+    return g.select(own.alias(id_col), F.lit(label).alias(y), new_x.alias(x),
                     F.lit(True).alias("synthetic"))
 
 
+def _check_k(k: int, n_min: int) -> None:
+    if k >= n_min:
+        raise ValueError(f"k = {k} neighbours need more than {k} minority rows; there are {n_min}")
+
+
 def _base(df, id_col, x, y):
     return df.select(id_col, y, x, F.lit(False).alias("synthetic"))
 
@@ -134,6 +144,7 @@ def smote(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", k:
     """RES-05: n_maj - n_min synthetic minority rows between k-NN pairs."""
     counts = class_counts(df, y)
     lo, hi = minority_majority(counts)
+    _check_k(k, counts[lo])
     minority = df.filter(F.col(y) == F.lit(lo))
     seeds = seeded_rank(minority, id_col, (), seed).withColumnRenamed("rank", "srank")
     nn = knn(minority, minority, k, id_col, x, y)
@@ -159,6 +170,7 @@ def borderline_smote(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: st
     come from the whole minority class."""
     counts = class_counts(df, y)
     lo, hi = minority_majority(counts)
+    _check_k(k, counts[lo])
     minority = df.filter(F.col(y) == F.lit(lo))
     seeds = seeded_rank(danger_seeds(df, y, id_col, x, m), id_col, (), seed).withColumnRenamed("rank", "srank")
     nn = knn(seeds, minority, k, id_col, x, y)
@@ -173,6 +185,7 @@ def adasyn(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", k
     synthetic rows, ratio_i = majority share among its k NN in the full set."""
     counts = class_counts(df, y)
     lo, hi = minority_majority(counts)
+    _check_k(k, counts[lo])
     minority = df.filter(F.col(y) == F.lit(lo))
     nn_all = knn(minority, df, k, id_col, x, y)
     ratio = nn_all.groupBy("qid").agg((F.count_if(F.col("nlabel") != F.lit(lo)) / k).alias("ratio"))
@@ -182,11 +195,14 @@ def adasyn(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", k
                        F.rint(F.col("ratio") / total * n_gen).cast("long").alias("n_i"))
     per = per.filter(F.col("n_i") > 0)
     nn = knn(minority, minority, k, id_col, x, y)
-    # draws: row i gets n_i draws (explode is bounded by n_i, the row's own quota)
+    # draws: row i gets n_i draws; a large quota is dealt out in pieces before it is exploded
     seeds = seeded_rank(minority, id_col, (), seed).withColumnRenamed("rank", "srank")
+    most = per.agg(F.max("n_i")).first()[0] or 1
     d = (per.join(seeds.select(id_col, "srank"), id_col)
-         .withColumn("t", F.explode(F.sequence(F.lit(1), F.col("n_i")))))
-    j = F.col("srank") * 1_000_003 + F.col("t")
+         .withColumn("t0", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_i"), F.lit(QUOTA_PIECE).cast("long"))))
+         .repartition("srank", "t0")
+         .withColumn("t", F.explode(F.sequence(F.col("t0"), F.least(F.col("t0") + QUOTA_PIECE - 1, F.col("n_i"))))))
+    j = F.col("srank") * F.lit(most + 1) + F.col("t")          # one id a draw: t never exceeds `most`
     draws = d.select(j.alias("draw"), "srank", (_draw(j, seed, "n") % k).cast("int").alias("slot"),
                      ((_draw(j, seed, "u") % U_BITS).cast("double") / U_BITS).alias("u"))
     syn = _materialise(draws, seeds, minority, nn, id_col, x, y, lo)

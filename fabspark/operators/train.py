@@ -64,11 +64,11 @@ def build_estimator(name: str, params: dict | None = None, sum_w: float = 1.0, s
                                   maxIter=int(p["max_iter"]), tol=1e-9, **common)
     if name == "balanced_rf":
         mf = p["max_features"]
-        return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"] or 12),
+        return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"] or 30),
                                       minInstancesPerNode=int(p["min_samples_leaf"]),
                                       featureSubsetStrategy=str(mf), seed=seed, **common)
     if name == "hist_gb":
-        depth = max(2, int(p.get("max_leaf_nodes", 31)).bit_length() - 1)
+        depth = max(2, (int(p.get("max_leaf_nodes", 31)) - 1).bit_length())    # ceil(log2(leaves))
         return GBTClassifier(stepSize=float(p["learning_rate"]), maxIter=int(p["max_iter"]), maxDepth=depth,
                              seed=seed, **common)
     return GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),

@@ -181,7 +181,11 @@ def count_windows(wafers: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES, stri
             T.StructField("window", T.IntegerType()), T.StructField("n_valid", T.LongType()),
             T.StructField("n_yield", T.LongType())])
         kernel = _window_kernel(group_cols, tuple(sizes), stride, to_arrow_schema(out_schema))
-        part = (wafers.select(*group_cols, "rows", "cols", "cells")
+        # the kernel reads rows * cols cells from a map's offset: malformed maps stay out
+        whole = wafers.filter((F.col("rows") >= 0) & (F.col("cols") >= 0)
+                              & (F.size("cells") == F.col("rows").cast("long") * F.col("cols"))
+                              & ~F.exists("cells", lambda c: c.isNull()))
+        part = (whole.select(*group_cols, "rows", "cols", "cells")
                 .mapInArrow(kernel, out_schema))
     elif method == "cells":
         part = _count_windows_cells(wafers, sizes, stride, group_cols)

@@ -66,7 +66,7 @@ _add("units", "SELECT DISTINCT unit_id, y, ts FROM slong", ["slong"])
 
 _add("dense", """
   SELECT vec_id AS unit_id, CAST(label = 0 AS INTEGER) AS y,
-         list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS x
+         list_transform(embedding[1:64], lambda v: CAST(v AS DOUBLE)) AS x
   FROM embeddings""")
 
 # F3 -------------------------------------------------------------------------

@@ -262,7 +262,7 @@ _SMOTE = [_KNN_MIN,
 
 def _checksum_sql(src: str) -> str:
     return f"""SELECT unit_id, y, unit_id < 0 AS synthetic,
-                      list_sum(list_transform(list_zip(x, range(1, 17)), lambda t: t[1] * t[2])) AS checksum
+                      list_sum(list_transform(list_zip(x, range(1, 65)), lambda t: t[1] * t[2])) AS checksum
                FROM {src}"""
 
 

@@ -51,11 +51,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     The location is read from ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir). Only when neither is configured (a bare local session,
-    e.g. a test) is a folder under /tmp registered as the checkpoint dir.
+    checkpoint dir). Where neither is set, a local[...] session gets a folder of
+    its own; on several machines no such folder would be shared, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"/tmp/fabspark-ckpt-{uuid.uuid4().hex[:8]}"
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
@@ -63,6 +65,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (as an archive), for clusters whose
+    workers do not have it installed."""
+    import shutil
+    import tempfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "fabspark"), "zip",
+                                  os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+
+
 def cut_lineage(df):
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     shared_dir(df.sparkSession, "ckpt")  # makes sure a checkpoint dir is set

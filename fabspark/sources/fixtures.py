@@ -186,8 +186,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("request_id"), payload.alias("payload"))
 
 
-def dense_sensors(spark: SparkSession, sf_dir: str, width: int = 16) -> DataFrame:
-    """``(unit_id, y, x array<double>[width])`` without missing values (the first
+def dense_sensors(spark: SparkSession, sf_dir: str, width: int = N_SENSORS) -> DataFrame:
+    """``(unit_id, y, x array<double>[width])`` without missing values (all
     ``width`` embedding dimensions): the input of the k-NN based resamplers."""
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col("embedding"), i).cast("double"))

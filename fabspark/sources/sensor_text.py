@@ -33,9 +33,10 @@ def read_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataF
                    F.monotonically_increasing_id().alias("_m")))
     blocks = raw.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_m0"))
     # one row per file block: a small table, ordered by (file, block start)
-    w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("_f", r"part-(\d+)", 1).try_cast("long")    # part-100000 comes after part-99999
+    w = Window.orderBy(part, "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = blocks.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = (raw.join(F.broadcast(offs), ["_f", "_b"])
+    out = (raw.join(offs, ["_f", "_b"])
            .select((F.col("_off") + F.col("_m") - F.col("_m0")).alias("line_idx"), "value"))
     if skip_blank:
         blank = F.trim("value") == ""
