@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import ALNUM_WORDS, code_points, split_words, texts_as_bytes, word_starts
+from .textkit import ALNUM_WORDS, code_points, small_batches, split_words, texts_as_bytes, word_starts
 
 RESULT = ("n_words", "n_hit", "items", "spans", "_ranges", "_items")
 _AUTOMATA: dict[str, ahocorasick.Automaton | None] = {}   # per worker, by broadcast
@@ -116,6 +116,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     items (ids with occurring windows, sorted) and spans (code points, merged)."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                              F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .textkit import SPACE_WORDS, mix, ngram_hashes, split_words, texts_as_bytes
+from .textkit import SPACE_WORDS, mix, ngram_hashes, small_batches, split_words, texts_as_bytes
 
 SCAN_COST = 8
 FILTER_BITS = 1 << 23                 # one bounded bitmap of candidate documents
@@ -270,6 +270,7 @@ def _verify(percent: int):
 
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, cluster_grams: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = cut_lineage(sketch(docs, n, percent))
     postings = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")

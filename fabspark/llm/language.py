@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .textkit import small_batches
+
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 20                  # bytes of a text scored at once
 _NOT_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -102,6 +104,7 @@ def learn(rows: DataFrame, buckets: int = 1 << 14, alpha: float = 0.5, weight_ro
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(mine[at])],
                                              names=["lang", "bucket", "n"])
 
+    small_batches(rows.sparkSession)
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     counted = (rows.mapInArrow(count, "lang string, bucket bigint, n bigint")
                    .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
@@ -154,6 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the winner), ambiguous, and passed-on columns but text."""
     docs = docs.drop("lang_pred", "score", "ambiguous")        # an input column named like a result is replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)     # buckets x bits, bounded by the languages
+    small_batches(docs.sparkSession)
     passed = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import ALNUM_WORDS, split_words, texts_as_bytes, word_starts
+from .textkit import ALNUM_WORDS, small_batches, split_words, texts_as_bytes, word_starts
 
 # Base phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -152,6 +152,7 @@ def scan(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.Re
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id with word count, base places, labels, score and tagged expressions (postfix)."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     return slim.mapInArrow(
         lambda batches: scan(batches, ["doc_id"]),

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .bpe import encoder
+from .textkit import small_batches
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
           "_part int, _nth bigint")
@@ -159,6 +160,7 @@ def place(pieces: DataFrame, plan: Plan) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
+    small_batches(docs.sparkSession)
     pieces = cut_lineage(tokenise(docs, tokenizer, end_id, capacity))   # encoded once
     counts = pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}

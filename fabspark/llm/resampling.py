@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .ranks import in_order
-from .textkit import SPACE_WORDS, ngram_hashes, texts_as_bytes
+from .textkit import SPACE_WORDS, ngram_hashes, small_batches, texts_as_bytes
 
 BUCKETS = 1 << 14
 #: 0: white space, 1: letters and digits (and all beyond ASCII), 2: other characters.
@@ -100,6 +100,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = 0.995, label
 
     ``labels``: (doc_id, good boolean); at most about ``label_rows`` of them are used.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     labels = labels.where("doc_id IS NOT NULL AND good IS NOT NULL").select(F.col("doc_id").cast("long"), "good")
     used = labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(label_rows)

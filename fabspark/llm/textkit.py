@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: A-Z lower-cased; \t \n \v \f \r become a space; everything else stays.
@@ -31,6 +32,15 @@ def _powers(base: np.uint64) -> np.ndarray:
 _POW, _INV = _powers(_P), _powers(_P_INV)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts run from a word to megabytes: where the session does not say otherwise,
+    keep the batches that go to Python small."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text, without decoding them."""
     wide = pa.types.is_large_string(column.type)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
 from .bpe import encoder
+from .textkit import small_batches
 
 HEADER = struct.Struct("<4sIIIQQQ")
 MAGIC = b"TBP1"
@@ -124,6 +125,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([build_file(held, bits, block, part, before)], pa.binary())], names=["content"])
 
+    small_batches(docs.sparkSession)
     ordered = (docs.select(F.col("doc_id").cast("long"), "text")
                    .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")))
     (ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
