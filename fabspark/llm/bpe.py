@@ -3,11 +3,13 @@
 No pre-token of the two vocabularies crosses the gap between a non-space
 character and the white space after it, so a text's ids are those of its pieces
 in order. Pieces repeat, so a bounded per-worker memo saves most of the work;
-texts whose white space could be read differently in pieces go through whole.
+texts whose white space could be read differently in pieces go through whole:
+runs of spaces or line ends, and other white space followed by one of them.
 """
 from __future__ import annotations
 
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks are the parallelism
 
@@ -18,9 +20,16 @@ from tokenizers import Tokenizer  # noqa: E402
 
 MEMO_ENTRIES = 700_000        # pieces a worker remembers
 LONGEST_PIECE = 40            # characters; longer ones are not remembered
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_MIXED_RUN = re.compile(f"[{''.join(_OTHER_SPACE)}][ \n]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _mixed_space(text: str) -> bool:
+    """Whether other white space stands before a space or a line end."""
+    return any(c in text for c in _OTHER_SPACE) and _MIXED_RUN.search(text) is not None
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes each byte as one printable character."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,7 +81,7 @@ class Encoder(dict):
             return b""
         if not self.keeps_space:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        if "\n\n" in text or "  " in (marked := text.replace("\n", " \n")):
+        if "\n\n" in text or "  " in (marked := text.replace("\n", " \n")) or _mixed_space(text):
             return self.whole(text)
         head, _, rest = marked.partition(" ")
         if not _:

@@ -144,7 +144,7 @@ def _bit_weights(rows: DataFrame, model: Model, share: float) -> np.ndarray:
             [pa.array(np.repeat(at, hits.shape[1])), pa.array(np.tile(np.arange(hits.shape[1]), len(at))),
              pa.array(hits[at].ravel()), pa.array(np.repeat(n[at], hits.shape[1]))], names=["lang", "bit", "hits", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < int(share * (1 << 50)))
     got = (sample.mapInArrow(right, "lang bigint, bit bigint, hits bigint, n bigint")
                  .groupBy("lang", "bit").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect())
     accuracy = np.full(model.code.shape, 0.5)

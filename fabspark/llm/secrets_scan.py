@@ -75,7 +75,8 @@ def train(docs: DataFrame, sample_documents: int = 5000) -> list[float]:
     secret = docs.select(F.explode(F.array_distinct(F.transform(base, lambda s: s["value"]))).alias("token"), F.lit(True).alias("secret"))
     total = docs.count()
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_text(), ASSIGN, " "), ACCESS, " "), HEX, " ")
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_documents / max(1, total))))
+    share = min(1.0, sample_documents / max(1, total))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 50)) < int(share * (1 << 50)))
     plain = sample.select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("secret")).where(
         F.length("token") < LONG)
     counted = (secret.unionByName(plain).select("secret", F.explode(_transitions(F.col("token"))).alias("pair"))

@@ -12,6 +12,16 @@ def direct(name, text):
     return np.array(bpe.encoder(name).tokenizer.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_mixed_white_space(name):
+    e, rng = bpe.encoder(name), np.random.default_rng(11)
+    letters = [*"aB1.,'", "can't", "É", "中", "Σ", "<|endoftext|>", *[" ", "\n", "\t", "\r", "\xa0", "\u3000", "\u0301"] * 2]
+    for _ in range(5000):
+        text = "".join(rng.choice(letters, size=rng.integers(1, 9)))
+        assert e.ids(text) == e.whole(text), repr(text)
+    assert e.ids(" \xa0 \xa0\tB") == e.whole(" \xa0 \xa0\tB")
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piecewise_ids_equal_whole_text_ids(name):
     odd = ["a  b", " a", "a ", "\n\na", "a\n b", "a\r\nb", "a \xa0b\xa0 c", "a\t\tb", "it's we'll  x", "", "  ", "\n", "x\n",
