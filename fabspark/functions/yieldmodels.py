@@ -13,7 +13,6 @@ import math
 from dataclasses import dataclass, field
 from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,49 +92,30 @@ def yield_by_name(model_col, area, d0, alpha) -> Column:
     return expr
 
 
-def _bisect_murphy(target: Column, d0: Column, steps: int = 100) -> Column:
-    """Root of murphy(A) = target on [1e-9, A_HI] by bisection, inside one
-    expression (``aggregate`` over a fixed step count — no driver loop)."""
-    init = F.struct(F.lit(1e-9).alias("lo"), F.lit(A_HI).alias("hi"))
-
-    def step(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        above = murphy(mid, d0) > target           # yield still above target -> root to the right
-        return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
-    res = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
-    return (res["lo"] + res["hi"]) / 2.0
-
-
-def _bisect_murphy_np(target, d0, steps: int = 100):
-    import numpy as np
-    t = np.asarray(target, dtype=float)
-    d = np.asarray(d0, dtype=float)
-    lo = np.full(t.shape, 1e-9)
-    hi = np.full(t.shape, A_HI)
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        for _ in range(steps):
-            mid = (lo + hi) / 2.0
-            lam = d * mid
-            core = np.where(lam > MURPHY_EPS, (1.0 - np.exp(-lam)) / lam, 1.0)
-            above = core * core > t
-            lo = np.where(above, mid, lo)
-            hi = np.where(above, hi, mid)
-    return (lo + hi) / 2.0
-
-
-def _murphy_inverse_udf():
-    @F.pandas_udf("double")
-    def murphy_inverse(target: pd.Series, d0: pd.Series) -> pd.Series:
-        return pd.Series(_bisect_murphy_np(target.to_numpy(float), d0.to_numpy(float)))
-    return murphy_inverse
-
-
-def max_area_for_yield(model: str, target, d0, alpha=None, vectorised: bool = True) -> Column:
+NEWTON_STEPS = 8           # from the bound below, 6 reach double precision anywhere in (0, 1)
+
+
+def _murphy_root(target: Column, d0: Column) -> Column:
+    """Area where murphy(A) = target, for 0 < target < 1.
+
+    With l = D0 A and s = sqrt(target) this is (1 - e^-l) / l = s. The left side is
+    convex and falls, so Newton steps from a point left of the root rise to it
+    without passing it; both 2 (1 - s) and 1 / s - 1 lie left of it."""
+    s = F.sqrt(target)
+    start = F.greatest(2.0 * (1.0 - s), F.try_divide(F.lit(1.0), s) - 1.0, F.lit(MURPHY_EPS))
+
+    def step(lam, _):
+        g = -F.expm1(-lam) / lam
+        slope = F.when(lam < 1e-4, lam / 3.0 - 0.5).otherwise((F.exp(-lam) - g) / lam)
+        return lam - (g - s) / slope
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step) / d0
+
+
+def max_area_for_yield(model: str, target, d0, alpha=None) -> Column:
     """Largest area whose predicted yield is still >= target.
 
     NULL unless 0 < target < 1; +inf when the yield at ``A_HI`` is still above
-    the target. Poisson and negative binomial use closed forms, Murphy bisects.
+    the target. Poisson and negative binomial use closed forms, Murphy Newton steps.
     """
     t, d0c = _c(target), _c(d0)
     ok = (t > 0) & (t < 1)
@@ -147,9 +127,7 @@ def max_area_for_yield(model: str, target, d0, alpha=None, vectorised: bool = Tr
         root = a * (F.pow(t, -1.0 / a) - 1.0) / d0c
         beyond = negative_binomial(A_HI, d0c, a) > t
     elif model == "murphy":
-        # the same 100-step bisection, either Arrow-batched numpy (fast) or one
-        # SQL ``aggregate`` expression (interpreted per row, ~20x slower)
-        root = _murphy_inverse_udf()(t, d0c) if vectorised else _bisect_murphy(t, d0c)
+        root = _murphy_root(F.when(ok, t), d0c)
         beyond = murphy(A_HI, d0c) > t
     else:
         raise KeyError(f"no inverse for model {model!r}")

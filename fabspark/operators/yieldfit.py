@@ -8,7 +8,7 @@ curves (per lot, per failure type) fit in one job:
   log-parameters with the reference's bounds), one pandas call per group via
   ``applyInPandas``; each group holds only its curve points.
 * ``fit_grid`` — exhaustive search over a fixed log-spaced parameter grid in
-  plain DataFrame operations (generator + aggregate + ``min_by``); its result
+  plain DataFrame operations (points array + generator + minimum); its result
   can be checked by SQL.
 
 Fits are ``(group..., model, d0, alpha, success, message)``; ``alpha`` is
@@ -48,25 +48,30 @@ def fit_grid(curve: DataFrame, group_cols=(), models=None, d0_grid=D0_GRID, alph
     """MDL-06: weighted least squares over a fixed log-spaced grid, best point
     per (group, model).
 
-    Each curve point is expanded by a generator over the grid (a fixed
-    multiplier, ~41k, independent of the data), the weighted loss is summed
-    per (group, model, grid point) with map-side partial aggregation, and the
-    minimum is kept with a deterministic tie-break (smallest i, then j)."""
+    A group's few curve points (one a window size) become one array; the grid (a fixed
+    multiplier, ~41k) is then expanded once a group and the weighted loss summed over
+    the array in place, so no grid row is shuffled: each task keeps the minimum of
+    its rows, with a deterministic tie-break (smallest i, then j)."""
     group_cols = list(group_cols)
     names = _model_list(models)
     lo, hi, n = d0_grid
     alo, ahi, an = alpha_grid
     two = [m for m in names if YM.get_model(m).n_params == 2]
-    pts = (curve.select(*group_cols, "area", "yield", (point_weights() ** 2).alias("w2"))
-           .withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
-           .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
-           .withColumn("j", F.explode(F.when(F.col("model").isin(two), F.sequence(F.lit(0), F.lit(an)))
-                                      .otherwise(F.array(F.lit(None).cast("int")))))
-           .withColumn("d0", _grid_values(lo, hi, n, F.col("i")))
-           .withColumn("alpha", F.when(F.col("j").isNotNull(), _grid_values(alo, ahi, an, F.col("j")))))
-    pred = YM.yield_by_name(F.col("model"), F.col("area"), F.col("d0"), F.col("alpha"))
-    loss = (pts.groupBy(*group_cols, "model", "i", "j", "d0", "alpha")
-            .agg(F.sum(F.col("w2") * (F.col("yield") - pred) ** 2).alias("loss")))
+    point = F.struct("area", "yield", (point_weights() ** 2).alias("w2"))
+    groups = curve.groupBy(*group_cols).agg(F.sort_array(F.collect_list(point)).alias("points")).where(F.size("points") > 0)
+
+    grid = (groups.withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
+            .withColumn("j", F.explode(F.when(F.col("model").isin(two), F.sequence(F.lit(0), F.lit(an)))
+                                       .otherwise(F.array(F.lit(None).cast("int")))))
+            .withColumn("d0", _grid_values(lo, hi, n, F.col("i")))
+            .withColumn("alpha", F.when(F.col("j").isNotNull(), _grid_values(alo, ahi, an, F.col("j")))))
+
+    def added(total, p):
+        pred = YM.yield_by_name(F.col("model"), p["area"], F.col("d0"), F.col("alpha"))
+        return total + F.coalesce(p["w2"] * (p["yield"] - pred) ** 2, F.lit(0.0))
+
+    loss = grid.withColumn("loss", F.aggregate("points", F.lit(0.0), added))
     best = (loss.groupBy(*group_cols, "model")
             .agg(F.min(F.struct("loss", "i", F.coalesce("j", F.lit(-1)).alias("j"), "d0", "alpha")).alias("b")))
     return best.select(*group_cols, "model", F.col("b.d0").alias("d0"), F.col("b.alpha").alias("alpha"),

@@ -138,5 +138,9 @@ def _trn12(spark, sf):
 def _rte06(spark, sf):
     model, classes, _ = _wafer_training(spark, sf)
     maps = S.wafer_rows(S.route(FX.requests(spark, sf)))
-    x = W.resized(maps, 16)
-    return TR.classify_wafers(model, x, classes).select("request_id", "map_idx", "pattern", "confidence")
+    x = W.resized(maps.where("error IS NULL"), 16)
+    scored = TR.classify_wafers(model, x, classes).select("request_id", "map_idx", "pattern", "confidence",
+                                                          F.lit(None).cast("string").alias("error"))
+    bad = maps.where("error IS NOT NULL").select("request_id", "map_idx", F.lit(None).cast("string").alias("pattern"),
+                                                 F.lit(None).cast("double").alias("confidence"), "error")
+    return scored.unionByName(bad)

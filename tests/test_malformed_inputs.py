@@ -88,3 +88,13 @@ def test_a_shared_folder_must_be_named_off_a_local_session(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session(), "x")
+
+
+def test_wafer_requests_that_are_no_grid_get_error_rows(spark):
+    payloads = ['{"wafer_map":[[0,1],[2,1]],"img_size":8}', '{"wafer_map":[[0,1],[1]]}', '{"wafer_map":"x","domain":"wafer_cnn"}',
+                '{"wafer_maps":[[[1]],[[1,2],[]]]}']
+    requests = spark.createDataFrame(list(enumerate(payloads)), "request_id long, payload string")
+    rows = score.wafer_rows(score.route(requests)).collect()
+    got = {(r["request_id"], r["map_idx"]): (r["cells"], r["img_size"]) for r in rows if r["error"] is None}
+    assert got == {(0, 0): ([0, 1, 2, 1], 8), (3, 0): ([1], None)}
+    assert {(r["request_id"], r["map_idx"]) for r in rows if r["error"]} == {(1, 0), (2, None), (3, 1)}

@@ -105,3 +105,14 @@ def test_unknown_model_rejected(spark):
         YF.fit_grid(_nb_curve(spark, 0.08, 1.5, 100), models=["gamma"])
     req = spark.createDataFrame([("poisson",), ("gamma",)], "model string")
     assert [r["model"] for r in YF.unknown_models(req).collect()] == ["gamma"]
+
+
+def test_murphy_inverse_over_the_whole_range_without_python(spark, capsys):
+    targets = [1e-9, 1e-6, 1e-3, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 0.999999]
+    t = spark.createDataFrame([(x,) for x in targets], "target double")
+    inv = YF.inverse(t, [("murphy", 0.05, None)])
+    for r in inv.collect():
+        lam = 0.05 * r["max_area"]
+        assert (-math.expm1(-lam) / lam) ** 2 == pytest.approx(r["target"], rel=1e-9)
+    inv.explain()
+    assert "Python" not in capsys.readouterr().out
