@@ -18,11 +18,12 @@ from array import array  # noqa: E402
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-MEMO_ENTRIES = 700_000        # pieces a worker remembers
+from .textkit import held  # noqa: E402
+
+MEMO_ENTRIES = 350_000        # pieces a worker remembers, about 100 MB
 LONGEST_PIECE = 40            # characters; longer ones are not remembered
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _MIXED_RUN = re.compile(f"[{''.join(_OTHER_SPACE)}][ \n]")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def _mixed_space(text: str) -> bool:
@@ -90,7 +91,5 @@ class Encoder(dict):
 
 
 def encoder(name: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, made once."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    """The worker's encoder of a vocabulary file."""
+    return held(f"encoder {name}", lambda: Encoder(name))

@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import ALNUM_WORDS, code_points, small_batches, split_words, texts_as_bytes, word_starts
+from .textkit import ALNUM_WORDS, code_points, held, small_batches, split_words, texts_as_bytes, word_starts
 
 RESULT = ("n_words", "n_hit", "items", "spans", "_ranges", "_items")
-_AUTOMATA: dict[str, ahocorasick.Automaton | None] = {}   # per worker, by broadcast
 
 
 def item_windows(text: bytes | None, window: int) -> set[bytes]:
@@ -38,21 +37,18 @@ def item_windows(text: bytes | None, window: int) -> set[bytes]:
     return {b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)}
 
 
-def _automaton(key: str, shared, window: int):
-    if key not in _AUTOMATA:
-        owners: dict[bytes, list[str | None]] = {}
-        for item, text in shared.value:
-            for w in item_windows(text, window):
-                owners.setdefault(w, []).append(item)
-        found = None
-        if owners:
-            found = ahocorasick.Automaton()
-            for w, items in owners.items():
-                found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w) + 1, items))
-            found.make_automaton()
-        _AUTOMATA.clear()                     # one automaton at a time in memory
-        _AUTOMATA[key] = found
-    return _AUTOMATA[key]
+def _automaton(rows: list[tuple], window: int) -> ahocorasick.Automaton | None:
+    owners: dict[bytes, list[str | None]] = {}
+    for item, text in rows:
+        for w in item_windows(text, window):
+            owners.setdefault(w, []).append(item)
+    if not owners:
+        return None
+    found = ahocorasick.Automaton()
+    for w, items in owners.items():
+        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w) + 1, items))
+    found.make_automaton()
+    return found
 
 
 def _scan(shared, window: int, passed: list[str]):
@@ -60,7 +56,7 @@ def _scan(shared, window: int, passed: list[str]):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(key, shared, window)
+        machine = held(f"automaton {key}", lambda: _automaton(shared.value, window))
         for b in batches:
             n_words, ranges, items = [], [], []
             before = (b.column("_ranges").to_pylist(), b.column("_items").to_pylist())
@@ -124,16 +120,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     passed = docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.withColumns({"_ranges": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    finish = _finish(passed)
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         rows = [(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
-        shared = spark.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_scan(shared, window, passed),
-                             f"{kept}, n_words bigint, _ranges array<bigint>, _items array<string>")
+        scan = _scan(spark.sparkContext.broadcast(rows), window, passed)
         if k + 1 < parts:
-            out = out.drop("n_words")
-    return out.mapInArrow(_finish(passed), f"{kept}, n_words bigint, n_hit bigint, items array<string>, "
-                                           "spans array<struct<start: bigint, end: bigint>>")
+            out = out.mapInArrow(scan, f"{kept}, n_words bigint, _ranges array<bigint>, _items array<string>").drop("n_words")
+    # the last scan also finishes its rows: a step of its own would need another worker a core
+    return out.mapInArrow(lambda batches: finish(scan(batches)), f"{kept}, n_words bigint, n_hit bigint, "
+                          "items array<string>, spans array<struct<start: bigint, end: bigint>>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -32,6 +32,18 @@ def _powers(base: np.uint64) -> np.ndarray:
 _POW, _INV = _powers(_P), _powers(_P_INV)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """A worker's large model, made once. Workers live on from stage to stage, so
+    they hold one at a time: asking for another drops it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts run from a word to megabytes: where the session does not say otherwise,
     keep the batches that go to Python small."""
