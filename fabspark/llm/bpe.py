@@ -20,7 +20,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from .textkit import held  # noqa: E402
 
-MEMO_ENTRIES = 350_000        # pieces a worker remembers, about 100 MB
+MEMO_ENTRIES = 700_000        # pieces a worker remembers, about 190 MB
 LONGEST_PIECE = 40            # characters; longer ones are not remembered
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _MIXED_RUN = re.compile(f"[{''.join(_OTHER_SPACE)}][ \n]")
