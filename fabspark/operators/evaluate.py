@@ -186,8 +186,8 @@ def score_summary(scored: DataFrame, threshold: float, score: str = "score") ->
 
 def evaluation_report(scored: DataFrame, tuned_threshold=None, objective: str = "f1",
                       recall_target: float | None = None, y="y", score="score") -> DataFrame:
-    """EVL-17: one row with AP, AUC, no-skill, and metrics at 0.5 and at the
-    tuned threshold (tuned on this data unless a threshold is given)."""
+    """EVL-17: one row with AP, AUC, no-skill, and metrics and confusion counts at 0.5
+    and at the tuned threshold (tuned on this data unless a threshold is given)."""
     pts = curve_points(scored, y, score).cache()
     if tuned_threshold is None:
         if recall_target is not None:
@@ -198,7 +198,7 @@ def evaluation_report(scored: DataFrame, tuned_threshold=None, objective: str =
             tuned_threshold = tune_f1(pts).first()["threshold"]
     d = metrics_at_threshold(scored, DEFAULT_THRESHOLD, y, score)
     t = metrics_at_threshold(scored, float(tuned_threshold), y, score)
-    cols = ["precision", "recall", "f1", "g_mean"]
+    cols = ["precision", "recall", "f1", "g_mean", "tp", "fp", "fn", "tn"]
     return (average_precision(pts)
             .select("average_precision", roc_auc(pts).select("roc_auc").scalar().alias("roc_auc"),
                     no_skill(scored, y).scalar().alias("no_skill"),
@@ -208,6 +208,13 @@ def evaluation_report(scored: DataFrame, tuned_threshold=None, objective: str =
                     *[t.select(c).scalar().alias(f"tuned_{c}") for c in cols]))
 
 
+def operating_points(report: DataFrame) -> DataFrame:
+    """SNK-06: the report's metrics side by side at the default and the tuned threshold."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(f"default_{m}").alias("default"), F.col(f"tuned_{m}").alias("tuned"))
+            for m in ("recall", "precision", "f1", "g_mean")]
+    return report.select(F.inline(F.array(*rows)))
+
+
 # ------------------------------------------------------------- scoring
 def proba_from_margin(margin) -> F.Column:
     """PRJ-11: logistic squash of a decision margin."""

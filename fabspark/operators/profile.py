@@ -224,6 +224,11 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                     F.coalesce("count", F.lit(0)).alias("count")))
 
 
+def area_bins(df: DataFrame, col: str) -> int:
+    """As many bins as distinct values, from 5 to 50."""
+    return min(50, max(5, df.agg(F.countDistinct(col)).first()[0]))
+
+
 # ------------------------------------------------------------ AGG-14..16
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """AGG-14 ("balanced"): n / (k * count_c) per class."""

@@ -168,8 +168,10 @@ def _agg17(spark, sf):
          (SELECT CAST(sum(fp_at * (2 * tps - tp_at)) AS DOUBLE) / (2 * any_value(n_pos) * any_value(n_neg)) FROM cum) AS roc_auc,
          (SELECT avg(CAST(y AS DOUBLE)) FROM scored) AS no_skill, 0.5 AS default_threshold,
          d.precision AS default_precision, d.recall AS default_recall, d.f1 AS default_f1, d.g_mean AS default_g_mean,
+         d.tp AS default_tp, d.fp AS default_fp, d.fn AS default_fn, d.tn AS default_tn,
          (SELECT threshold FROM pr ORDER BY f1 DESC, threshold ASC LIMIT 1) AS tuned_threshold,
-         t.precision AS tuned_precision, t.recall AS tuned_recall, t.f1 AS tuned_f1, t.g_mean AS tuned_g_mean
+         t.precision AS tuned_precision, t.recall AS tuned_recall, t.f1 AS tuned_f1, t.g_mean AS tuned_g_mean,
+         t.tp AS tuned_tp, t.fp AS tuned_fp, t.fn AS tuned_fn, t.tn AS tuned_tn
   FROM md d, mt t""", ["average_precision", "roc_auc", "no_skill", "default_threshold", "default_precision",
                      "default_recall", "default_f1", "default_g_mean", "tuned_threshold", "tuned_precision",
                      "tuned_recall", "tuned_f1", "tuned_g_mean"],

@@ -137,6 +137,29 @@ def _dq04(spark, sf):
     return ST.orphans(ST.read_sensor_data(spark, d), ST.read_sensor_labels(spark, l_)).select("line_idx")
 
 
+@register("dq_03_bad_label_values", with_ctes(["units"], """
+  SELECT coalesce(string_agg(DISTINCT bad, ',' ORDER BY bad), '') AS bad_values, CAST(count(bad) AS INTEGER) AS n_bad
+  FROM (SELECT CASE WHEN unit_id % 97 = 5 THEN '2' WHEN unit_id % 89 = 7 THEN 'null' END AS bad FROM units)"""))
+def _dq03_bad(spark, sf):
+    base, k = shared_dir(spark, "sensor-text-bad"), F.col("unit_id")
+    bad = F.when(k % 97 == 5, F.lit('2 "01/01/2024 00:00:00"')).when(k % 89 == 7, F.lit('x "01/01/2024 00:00:00"'))
+    ST.write_sensor_files(FX.sensors(spark, sf), f"{base}/data", f"{base}/labels", "unit_id", bad)
+    r = ST.label_report(ST.read_sensor_labels(spark, f"{base}/labels"))
+    return r.select(F.array_join("bad_values", ",").alias("bad_values"), F.col("n_bad").cast("int").alias("n_bad"))
+
+
+@register("dq_04_short_label_file", with_ctes(["units"], """
+  SELECT line_idx FROM (SELECT CAST(row_number() OVER (ORDER BY unit_id) - 1 AS BIGINT) AS line_idx FROM units)
+  WHERE line_idx >= (SELECT count(*) FROM units WHERE unit_id % 10 <> 3)"""))
+def _dq04_short(spark, sf):
+    base, s = shared_dir(spark, "sensor-text-short"), FX.sensors(spark, sf)
+    ST.write_sensor_files(s, f"{base}/data", f"{base}/labels", "unit_id")
+    short = s.where("unit_id % 10 <> 3")
+    ST.write_sensor_files(short, f"{base}/short-data", f"{base}/short-labels", "unit_id")
+    data, labels = ST.read_sensor_data(spark, f"{base}/data"), ST.read_sensor_labels(spark, f"{base}/short-labels")
+    return ST.orphans(data, labels).select("line_idx")
+
+
 @register("flt_04_temporal_after_ingest", rsql(with_ctes(["slong"], """
   SELECT strftime(d.bin, '%Y-%m-%d') AS bin, coalesce(c.n, 0) AS n, CAST(coalesce(c.fails, 0) AS BIGINT) AS fails,
          CAST(c.fails AS DOUBLE) / nullif(c.n, 0) AS fail_rate

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import yieldmodels as YM
+from ..operators import evaluate as E
 from ..operators import prep as PR
 from ..operators import profile as P
 from ..operators import score as S
@@ -206,3 +207,21 @@ def _snk06(spark, sf):
     return spark.read.parquet(paths["top_missing"]).unionByName(
         spark.read.parquet(paths["top_associated"]).select("i", "feature", F.lit(None).cast("long").alias("missing_count"),
                                                            F.lit(None).cast("double").alias("missing_rate")))
+
+
+@register("snk_06_operating_points", " UNION ALL ".join(
+    f"""SELECT '{m}' AS metric, default_{m} AS "default", tuned_{m} AS tuned FROM ({ORACLE["evl_17_evaluation_report"]})"""
+    for m in ("recall", "precision", "f1", "g_mean")))
+def _snk06_points(spark, sf):
+    points = E.operating_points(E.evaluation_report(FX.scored(spark, sf)))
+    path = R.write_tables({"points": points}, shared_dir(spark, "operating-points"))["points"]
+    return round_doubles(spark.read.parquet(path))
+
+
+@register("set_01_missing_features", with_ctes(["slong"], """
+  SELECT unit_id AS request_id, CAST(0 AS INTEGER) AS row_idx, CAST(count(*) AS INTEGER) AS n_missing,
+         array_to_string(list(printf('feature_%03d', i) ORDER BY i)[1:5], ',') AS first_missing
+  FROM slong WHERE v IS NULL GROUP BY unit_id"""))
+def _set01_features(spark, sf):
+    found = S.missing_features(FX.sparse_records(spark, sf), FX.sensor_names())
+    return found.withColumn("first_missing", F.array_join("first_missing", ","))

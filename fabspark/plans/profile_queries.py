@@ -170,6 +170,33 @@ def _agg13(spark, sf):
     return round_doubles(P.histogram(P.missingness(_sensors(spark, sf)), "missing_rate", 30))
 
 
+def _hist_sql(source: str, col: str, bins: str) -> str:
+    """Equal-width bins of ``col``, the last one closed; empty bins are listed."""
+    return f"""
+  SELECT b.bin, r.lo + b.bin * (r.hi - r.lo) / r.n AS "left", r.lo + (b.bin + 1) * (r.hi - r.lo) / r.n AS "right",
+         coalesce(c.count, 0) AS count
+  FROM (SELECT min({col}) AS lo, max({col}) AS hi, {bins} AS n FROM {source}) r
+  JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b ON b.bin < r.n
+  LEFT JOIN (SELECT CAST(CASE WHEN x.hi > x.lo THEN least(floor((m.{col} - x.lo) / (x.hi - x.lo) * x.n), x.n - 1)
+                              ELSE 0 END AS INTEGER) AS bin, count(*) AS count
+             FROM {source} m, (SELECT min({col}) AS lo, max({col}) AS hi, {bins} AS n FROM {source}) x
+             WHERE m.{col} IS NOT NULL GROUP BY 1) c USING (bin)"""
+
+
+@register("agg_13_defect_rate_histogram", rsql(with_ctes(["rwafers"], _hist_sql("dr", "defect_rate", "40"), [("dr", """
+  SELECT CASE WHEN n_die > 0 THEN CAST(n_bad AS DOUBLE) / n_die END AS defect_rate FROM rwafers""")]), ["left", "right"]))
+def _agg13_defects(spark, sf):
+    return round_doubles(P.histogram(W.with_summary(FX.ragged_wafers(spark, sf)), "defect_rate", 40))
+
+
+@register("agg_13_map_area_histogram", rsql(with_ctes(["rwafers"],
+          _hist_sql("ma", "area", "least(50, greatest(5, count(DISTINCT area)))"),
+          [("ma", 'SELECT CAST("rows" * cols AS DOUBLE) AS area FROM rwafers')]), ["left", "right"]))
+def _agg13_area(spark, sf):
+    w = FX.ragged_wafers(spark, sf).select((F.col("rows") * F.col("cols")).cast("double").alias("area"))
+    return round_doubles(P.histogram(w, "area", P.area_bins(w, "area")))
+
+
 # ------------------------------------------------------------ wafer stats
 _DESC_COLS = ["n_die", "n_bad", "defect_rate"]
 

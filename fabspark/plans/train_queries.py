@@ -107,7 +107,8 @@ def _snk05(spark, sf):
 def _rte05(spark, sf):
     train, _ = _split(spark, sf)
     m = TR.fit_sensor_model(train, "logreg", "class_weight", QUICK["logreg"])
-    rows = S.sensor_rows(S.route(FX.requests(spark, sf)), len(m.prep.names_in))
+    requests = FX.requests(spark, sf).unionByName(FX.sensor_requests(spark, sf))
+    rows = S.sensor_rows(S.route(requests), len(m.prep.names_in), trained=m.prep.names_in)
     ok = rows.filter(F.col("error").isNull())
     scored = m.predict_frame(ok).select("request_id", "row_idx", "fail_proba", "decision", F.lit(None).cast("string").alias("error"))
     bad = rows.filter(F.col("error").isNotNull()).select("request_id", "row_idx", F.lit(None).cast("double").alias("fail_proba"),
@@ -137,7 +138,7 @@ def _trn12(spark, sf):
 @register("rte_06_wafer_batch_scoring")
 def _rte06(spark, sf):
     model, classes, _ = _wafer_training(spark, sf)
-    maps = S.wafer_rows(S.route(FX.requests(spark, sf)))
+    maps = S.wafer_rows(S.route(FX.requests(spark, sf).unionByName(FX.wafer_requests(spark, sf))))
     x = W.resized(maps.where("error IS NULL"), 16)
     scored = TR.classify_wafers(model, x, classes).select("request_id", "map_idx", "pattern", "confidence",
                                                           F.lit(None).cast("string").alias("error"))

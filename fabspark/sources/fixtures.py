@@ -186,6 +186,34 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("request_id"), payload.alias("payload"))
 
 
+def sensor_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, payload)``: every F2 row as a scoring request (ids -1, -2, ..):
+    a list of 64 values, for every fifth unit a record by name in reverse order,
+    for every eleventh one value too few."""
+    s = sensors(spark, sf_dir)
+    k = F.col("unit_id")
+    record = F.map_from_arrays(F.array(*map(F.lit, sensor_names()[::-1])), F.reverse("x"))
+    payload = (F.when(k % 11 == 0, F.to_json(F.struct(F.slice("x", 1, N_SENSORS - 1).alias("features"))))
+                .when(k % 5 == 0, F.to_json(F.struct(F.array(record).alias("rows"))))
+                .otherwise(F.to_json(F.struct(F.col("x").alias("features")))))
+    return s.select((-k - 1).alias("request_id"), payload.alias("payload"))
+
+
+def sparse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, payload)``: every F2 row as a record that holds its present values only."""
+    s = sensors(spark, sf_dir)
+    record = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, sensor_names())), "x"), lambda k, v: v.isNotNull())
+    return s.select(F.col("unit_id").alias("request_id"), F.to_json(F.struct(F.array(record).alias("rows"))).alias("payload"))
+
+
+def wafer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, payload)``: every F1b map as a 2-D grid (ids -1, -2, ..)."""
+    grid = F.transform(F.sequence(F.lit(0), F.col("rows") - 1),
+                       lambda i: F.slice("cells", i * F.col("cols") + 1, F.col("cols")).cast("array<int>"))
+    return ragged_wafers(spark, sf_dir).select((-F.col("wafer_id") - 1).alias("request_id"),
+                                               F.to_json(F.struct(grid.alias("wafer_map"))).alias("payload"))
+
+
 def dense_sensors(spark: SparkSession, sf_dir: str, width: int = N_SENSORS) -> DataFrame:
     """``(unit_id, y, x array<double>[width])`` without missing values (all
     ``width`` embedding dimensions): the input of the k-NN based resamplers."""
