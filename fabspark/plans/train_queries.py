@@ -1,7 +1,8 @@
 """Training / selection / scoring queries (Spark ML): rows-only checks.
 
-Iteration counts are set per query to keep a local run short; the library
-defaults (``train.DEFAULT_PARAMS``) are the reference's."""
+Logistic regression runs with the library defaults (``train.DEFAULT_PARAMS``) and 5
+folds; the ensembles are fitted with fewer trees and the tuning, hold-out and whole-run
+queries with fewer folds and draws, as the defaults take minutes each."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from . import sensor_plan as SPL
 from .catalog import register
 from .common import round_doubles
 
-QUICK = {"logreg": {"max_iter": 30}, "balanced_rf": {"n_estimators": 20},
+QUICK = {"logreg": {}, "balanced_rf": {"n_estimators": 20},
          "hist_gb": {"max_iter": 20}, "xgboost": {"n_estimators": 20}}
 
 
@@ -42,35 +43,34 @@ register("trn_04_xgboost")(lambda spark, sf: _fit_predict(spark, sf, "xgboost",
 @register("trn_05_cross_validate")
 def _trn05(spark, sf):
     train, _ = _split(spark, sf)
-    met, _ = TR.cross_validate(train, "logreg", "class_weight", 2, QUICK["logreg"])
+    met, _ = TR.cross_validate(train, "logreg", "class_weight")
     return round_doubles(TR.cv_summary(met, "logreg", "class_weight"))
 
 
 @register("trn_06_compare_configs")
 def _trn06(spark, sf):
     train, _ = _split(spark, sf)
-    return round_doubles(TR.compare_configs(train, [("logreg", "class_weight"), ("logreg", "random_under")], 2,
-                                            QUICK))
+    return round_doubles(TR.compare_configs(train, [("logreg", "class_weight"), ("logreg", "random_under")]))
 
 
 @register("trn_07_tune")
 def _trn07(spark, sf):
     train, _ = _split(spark, sf)
-    _, best, score, table = TR.tune(train, "logreg", "class_weight", n_iter=2, k=2, base_params=QUICK["logreg"])
+    _, best, score, table = TR.tune(train, "logreg", "class_weight", n_iter=2, k=2, base_params={"max_iter": 30})
     return round_doubles(table)
 
 
 @register("trn_08_oof_threshold")
 def _trn08(spark, sf):
     train, _ = _split(spark, sf)
-    _, oof = TR.cross_validate(train, "logreg", "class_weight", 2, QUICK["logreg"])
+    _, oof = TR.cross_validate(train, "logreg", "class_weight")
     return round_doubles(E.tune_f1(E.curve_points(oof)))
 
 
 @register("trn_09_fit_threshold_evaluate")
 def _trn09(spark, sf):
     train, test = _split(spark, sf)
-    _, report, _ = TR.fit_select_threshold_evaluate(train, test, "logreg", "class_weight", QUICK["logreg"], 2)
+    _, report, _ = TR.fit_select_threshold_evaluate(train, test, "logreg", "class_weight")
     return round_doubles(report)
 
 
@@ -83,21 +83,20 @@ def _trn10(spark, sf):
 
 @register("trn_11_sensor_run")
 def _trn11(spark, sf):
-    r = SPL.run(spark, FX.sensors(spark, sf), "logreg", "smote_enn", QUICK["logreg"], k=2)
+    r = SPL.run(spark, FX.sensors(spark, sf), "logreg", "smote_enn", {"max_iter": 30}, k=2)
     return round_doubles(r.predictions)
 
 
 @register("evl_11_feature_importance")
 def _evl11(spark, sf):
     train, _ = _split(spark, sf)
-    return round_doubles(TR.feature_importance(TR.fit_sensor_model(train, "logreg", "class_weight",
-                                                                   QUICK["logreg"])))
+    return round_doubles(TR.feature_importance(TR.fit_sensor_model(train, "logreg", "class_weight")))
 
 
 @register("snk_05_model_bundle_roundtrip")
 def _snk05(spark, sf):
     train, test = _split(spark, sf)
-    m = TR.fit_sensor_model(train, "logreg", "class_weight", QUICK["logreg"])
+    m = TR.fit_sensor_model(train, "logreg", "class_weight")
     path = MS.save_sensor_model(spark, m, shared_dir(spark, "sensor-model"))
     back = MS.load_sensor_model(spark, path)
     return round_doubles(back.predict_frame(test).select("unit_id", "fail_proba", "decision"))
@@ -106,7 +105,7 @@ def _snk05(spark, sf):
 @register("rte_05_sensor_batch_scoring")
 def _rte05(spark, sf):
     train, _ = _split(spark, sf)
-    m = TR.fit_sensor_model(train, "logreg", "class_weight", QUICK["logreg"])
+    m = TR.fit_sensor_model(train, "logreg", "class_weight")
     requests = FX.requests(spark, sf).unionByName(FX.sensor_requests(spark, sf))
     rows = S.sensor_rows(S.route(requests), len(m.prep.names_in), trained=m.prep.names_in)
     ok = rows.filter(F.col("error").isNull())
