@@ -23,8 +23,9 @@ overlaps are computed exactly there. A cluster with more n-grams than
 
 Defined cases: null or wordless texts have no set, 0 n-grams, and link with
 nothing (component: their own id); fewer words than n make one n-gram; rows
-repeated under one doc_id are separate rows of the same component; a null doc_id
-never names a component that has another id; empty tables and extra columns are fine.
+repeated under one doc_id are separate rows, each in the component of its own text;
+a null doc_id never names a component that has another id; empty tables and extra
+columns are fine.
 """
 from __future__ import annotations
 
@@ -51,6 +52,12 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(joined, starts, ends, min(n, len(starts)))) if len(starts) else np.empty(0, np.uint64)
 
 
+def node_of(grams: np.ndarray) -> int:
+    """Hash that names a set."""
+    with np.errstate(over="ignore"):
+        return int(mix(mix(grams).sum(dtype=np.uint64)[None] + np.uint64(len(grams))).view(np.int64)[0])
+
+
 def need(a: int, b: int, percent: int) -> int:
     """Smallest overlap of linked sets of sizes a and b."""
     return -(-percent * (a + b) // (percent + 100))
@@ -149,8 +156,7 @@ def sketch(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     node.append(None)
                     keys.append(None)
                     continue
-                with np.errstate(over="ignore"):
-                    mark = int(mix(mix(g).sum(dtype=np.uint64)[None] + np.uint64(len(g))).view(np.int64)[0])
+                mark = node_of(g)
                 node.append(mark)
                 keys.append(None if mark in seen else keys_of(g, percent).view(np.int64))
                 if len(seen) > 1_000_000:              # spares work only; copies are dropped later too
@@ -188,8 +194,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """doc_id, grams of documents that may be among ``chosen`` (a bitmap of bounded
-    size spares most others the shuffle; it never loses one)."""
+    """node, grams of the sets of documents that may be among ``chosen``, each node once
+    (a bitmap of bounded size spares most others the shuffle; it never loses one)."""
     rows = chosen.select("doc_id").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
     words = np.zeros(FILTER_BITS >> 5, dtype=np.int64)
     for r in rows:
@@ -197,13 +203,21 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, seen = shared.value, set()
         for b in batches:
             at = _bit(np.asarray(b.column("doc_id").fill_null(0)))
             b = b.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-            grams = [shingles(t, n).tobytes() for t in texts_as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(grams, pa.binary())], names=["doc_id", "grams"])
-    return docs.mapInArrow(run, "doc_id bigint, grams binary")
+            nodes, grams = [], []
+            for g in (shingles(t, n) for t in texts_as_bytes(b.column("text"))):
+                if not len(g) or (mark := node_of(g)) in seen:
+                    continue
+                if len(seen) > 1_000_000:              # spares work only; copies are dropped below too
+                    seen.clear()
+                seen.add(mark)
+                nodes.append(mark)
+                grams.append(g.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
+    return docs.mapInArrow(run, "node bigint, grams binary").dropDuplicates(["node"])
 
 
 def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:
@@ -258,8 +272,6 @@ def _verify(percent: int):
                     if (out := edges()) is not None:
                         yield out
                     group, nodes, sets, sides = (root, x, y), [], [], []
-                if nodes and nodes[-1] == node:         # a repeated row of the representative
-                    continue
                 nodes.append(node)
                 sides.append(side)
                 sets.append(np.frombuffer(grams, dtype=np.uint64))
@@ -287,10 +299,10 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, cluster_gram
     placed = members.join(large, "root", "left").withColumn("block", F.coalesce(block, F.lit(0))).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     placed = placed.select(
-        F.col("doc_id").alias("_id"), "node", "root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
+        "node", "root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
         (F.col("block") > F.col("with")).cast("int").alias("side"))
     sets = _candidate_sets(docs, members, n)
-    gathered = placed.join(sets, F.col("_id").eqNullSafe(F.col("doc_id")))
+    gathered = placed.join(sets, "node")             # by text: one doc_id, or none, may stand on several
     links = cut_lineage(gathered.select("root", "x", "y", "node", "side", "grams").repartition("root", "x", "y")
                         .sortWithinPartitions("root", "x", "y", "node").mapInArrow(_verify(percent), "a bigint, b bigint"))
     label = components(links)

@@ -87,6 +87,25 @@ def test_join_equals_brute_force(spark):
             assert sorted(tuple(r) for r in got) == want
 
 
+def test_join_of_texts_under_one_id(spark):
+    """Several texts under one doc_id, and under null: each is compared by its own n-grams."""
+    texts = [prose(500 + k, 60) for k in range(6)]
+    near = [t + " zebra" for t in texts]
+    docs = [(1, texts[0]), (1, texts[1]), (2, near[0]), (3, near[1]), (1, texts[1]),
+            *[(None, t) for t in texts[2:] + near[4:]], (4, near[2]), (5, near[3]), (None, texts[2]), (None, "")]
+    want = [(i, n, c) for i, n, c in brute_components([(99 if i is None else i, t) for i, t in docs], 4, 85)]
+    none = lambda v: None if v == 99 else v
+    want = sorted(((none(i), n, none(c)) for i, n, c in want), key=repr)
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
+        for grams in (4_000_000, 60):
+            got = jaccard_join.join_components(df, 4, 85, cluster_grams=grams).collect()
+            assert sorted((tuple(r) for r in got), key=repr) == want
+    # the chosen sets come once a node, whatever the copies
+    sets = jaccard_join._candidate_sets(df, df, 4)
+    assert sets.count() == sets.select("node").distinct().count() == len({t for _, t in docs if t})
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for percent in (60, 80, 85):
