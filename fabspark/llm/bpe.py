@@ -4,7 +4,8 @@ No pre-token of the two vocabularies crosses the gap between a non-space
 character and the white space after it, so a text's ids are those of its pieces
 in order. Pieces repeat, so a bounded per-worker memo saves most of the work;
 texts whose white space could be read differently in pieces go through whole:
-runs of spaces or line ends, and other white space followed by one of them.
+runs of spaces or line ends, and other white space followed by one of them. So do
+texts with the literal of an added token (``<|endoftext|>``), which has an id of its own.
 """
 from __future__ import annotations
 
@@ -50,7 +51,7 @@ class Encoder(dict):
     def __init__(self, name: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.keeps_space = name.startswith("byte_bpe")     # white space has ids of its own
         self.marks = {m: self.whole(m) for m in ".,"}
@@ -80,6 +81,8 @@ class Encoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         if not self.keeps_space:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if "\n\n" in text or "  " in (marked := text.replace("\n", " \n")) or _mixed_space(text):

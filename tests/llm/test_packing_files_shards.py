@@ -2,7 +2,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from llm_conftest import SF001, edge_texts, edges, empty  # noqa: F401
 
 from fabspark.llm import bpe, packing, sharding, token_files
@@ -32,6 +34,18 @@ def test_piecewise_ids_equal_whole_text_ids(name):
         assert np.array_equal(np.frombuffer(e.ids(text), "<u4"), direct(name, text)[:-1]), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_added_tokens(name):
+    """By the file alone: no tokenizer of the package's own making."""
+    plain, e = Tokenizer.from_file(public_tokenizers.path(name)), bpe.encoder(name)
+    special = plain.token_to_id("<|endoftext|>")
+    for text in ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c", "x <|startoftext|> y", "<|ENDOFTEXT|> z", "<| endoftext |>",
+                 "end\n<|endoftext|><|endoftext|> x\n y", *[t for t in edge_texts() if t]] * 2:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == want, text[:80]
+        assert (special in want) == ("<|endoftext|>" in text)
+
+
 def check_packing(docs, rows, capacity):
     texts = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
