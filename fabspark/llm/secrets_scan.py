@@ -4,7 +4,8 @@ Base patterns (kinds assign, access, hex) are found leftmost and non-overlapping
 their places follow from the lengths of the pieces between the matches. Other long
 runs of identifier characters are scored by two first-order Markov models over
 characters: one of random strings, one of ordinary identifiers. A run whose
-log-likelihood ratio beats the prior odds is a span of kind ``markov``.
+log-likelihood ratio beats the prior odds is a span of kind ``markov``. Where base
+spans cover a run in part, the long parts between them are scored, each by itself.
 
 The models are trained from labelled samples: values of the base patterns in all
 documents, against the shorter identifier runs of a bounded sample of documents.
@@ -98,11 +99,26 @@ def ratio_table(secret: list[float], plain: list[float], alpha: float = 0.5) ->
     return out
 
 
-def _markov(table: list[float], log_prior: float) -> Column:
-    """Spans of runs that look random, with their ratio against the prior odds."""
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run that no span of ``base`` (in order) covers, if long enough for a run."""
+    part = lambda at, end: F.when(end - at >= LONG, F.array(F.struct(
+        at.alias("start"), run["kind"].alias("kind"), end.alias("end"),
+        F.substring(run["value"], (at - run["start"] + 1).cast("int"), (end - at).cast("int")).alias("value")))).otherwise(
+            F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>"))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("out"))
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        touching, start,
+        lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], part(a["at"], b["start"])).alias("out")),
+        lambda a: F.concat(a["out"], part(a["at"], run["end"])))
+
+
+def _markov(table: list[float], log_prior: float, base: Column) -> Column:
+    """Spans of runs outside ``base`` that look random against the prior odds."""
     ratios = F.split(F.lit(",".join(f"{v:.6f}" for v in table)), ",").cast("array<double>")   # folded to a constant
     score = lambda token: F.aggregate(_transitions(token), F.lit(log_prior), lambda a, t: a + F.get(ratios, t))
-    return F.filter(_spans("markov", RUN), lambda s: score(s["value"]) > 0)
+    parts = F.flatten(F.transform(_spans("markov", RUN), lambda run: _outside(run, base)))
+    return F.filter(parts, lambda s: score(s["value"]) > 0)
 
 
 def find_secrets(docs: DataFrame, table: list[float], log_prior: float = math.log(1e-4)) -> DataFrame:
@@ -111,10 +127,9 @@ def find_secrets(docs: DataFrame, table: list[float], log_prior: float = math.lo
     bare = lambda spans: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.sort_array(bare(F.concat(_spans("assign", ASSIGN, ASSIGN_VALUE), _spans("access", ACCESS), _spans("hex", HEX))))
-    found = docs.select("*", base.alias("base"), bare(_markov(table, log_prior)).alias("_markov"))
-    # a run that a base span already covers in part is not told twice
-    fresh = F.filter("_markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("spans", F.sort_array(F.concat("base", fresh))).drop("_markov")
+    found = docs.select("*", base.alias("base"))
+    found = found.withColumn("_markov", bare(_markov(table, log_prior, F.col("base"))))
+    return found.withColumn("spans", F.sort_array(F.concat("base", "_markov"))).drop("_markov")
 
 
 def as_text(spans: Column) -> Column:

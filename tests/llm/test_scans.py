@@ -117,6 +117,29 @@ def test_secrets(spark, edges, empty):
     assert secrets_scan.find_secrets(empty, secrets_scan.train(empty)).count() == 0
 
 
+def test_secrets_beside_base_spans(spark, edges):
+    """The rest of a run that a base span covers in part is judged too, as redact does."""
+    sha, random_run = "0123456789abcdef0123456789abcdef01234567", "xQ7zK2pV9tR4mW8nL3bY6cJ1xQ7zK2pV9tR4mW8n"
+    docs = spark.createDataFrame([
+        (1, f"{sha}/{random_run}"), (2, f"é {random_run}/{sha}/{random_run} x"), (3, f"{sha}/xQ7zK2pV9t"),
+        (4, f"{sha}/shipsailsovercalmwaterwhile"), (5, f"{random_run}=AKIAABCDEFGHIJKLMN"), (6, f"token={sha}.{random_run}"),
+        (7, f"{sha}/{sha}_{random_run}"), (8, random_run)], "doc_id bigint, text string")
+    table = secrets_scan.train(edges.select("doc_id", "text").union(docs))
+    names, texts = secrets_scan.KINDS, {r["doc_id"]: r["text"] for r in docs.collect()}
+    got, clean = {}, {r["doc_id"]: r["text"] for r in secrets_scan.redact(docs, table).collect()}
+    for r in secrets_scan.find_secrets(docs, table).collect():
+        spans = [(s["start"], s["end"]) for s in r["spans"]]
+        got[r["doc_id"]] = [f"{names[s['kind']]}:{s['start']}:{s['end']}" for s in r["spans"]]
+        merged, text, at = [], texts[r["doc_id"]], 0
+        for s, e in spans:
+            if e > at:
+                merged += [text[at:max(at, s)], "[SECRET]"]
+                at = e
+        assert "".join(merged + [text[at:]]) == clean[r["doc_id"]]
+    assert got[1] == ["hex:0:40", "markov:40:81"] and got[3] == got[4] == ["hex:0:40"] and got[8] == ["markov:0:40"]
+    assert got[2] == ["markov:2:43", "hex:43:83", "markov:83:124"] and got[7][2:] == ["markov:81:122"]
+
+
 def test_line_rules(spark, edges, empty):
     common = "Share this page with friends of the house today!"
     rows = [(1000 + i, prose(50 + i, 60) + "\n" + common + "\n" + common.upper() + "  ", "h1") for i in range(30)]
