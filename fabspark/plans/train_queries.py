@@ -1,8 +1,8 @@
 """Training / selection / scoring queries (Spark ML): rows-only checks.
 
-Logistic regression runs with the library defaults (``train.DEFAULT_PARAMS``) and 5
-folds; the ensembles are fitted with fewer trees and the tuning, hold-out and whole-run
-queries with fewer folds and draws, as the defaults take minutes each."""
+All run with the operators' defaults: ``train.DEFAULT_PARAMS``, 5 folds, 25 draws (or
+the whole grid, if smaller), the five ``DEFAULT_CONFIGS``, 100 trees on maps of the
+reference's default size (64x64)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -19,9 +19,6 @@ from . import sensor_plan as SPL
 from .catalog import register
 from .common import round_doubles
 
-QUICK = {"logreg": {}, "balanced_rf": {"n_estimators": 20},
-         "hist_gb": {"max_iter": 20}, "xgboost": {"n_estimators": 20}}
-
 
 def _split(spark, sf):
     s = SP.stratified_split(FX.sensors(spark, sf)).cache()
@@ -30,7 +27,7 @@ def _split(spark, sf):
 
 def _fit_predict(spark, sf, est, strat):
     train, test = _split(spark, sf)
-    m = TR.fit_sensor_model(train, est, strat, QUICK[est])
+    m = TR.fit_sensor_model(train, est, strat)
     return round_doubles(m.predict_frame(test).select("unit_id", "y", "fail_proba", "decision", "label"))
 
 
@@ -50,13 +47,13 @@ def _trn05(spark, sf):
 @register("trn_06_compare_configs")
 def _trn06(spark, sf):
     train, _ = _split(spark, sf)
-    return round_doubles(TR.compare_configs(train, [("logreg", "class_weight"), ("logreg", "random_under")]))
+    return round_doubles(TR.compare_configs(train))
 
 
 @register("trn_07_tune")
 def _trn07(spark, sf):
     train, _ = _split(spark, sf)
-    _, best, score, table = TR.tune(train, "logreg", "class_weight", n_iter=2, k=2, base_params={"max_iter": 30})
+    _, best, score, table = TR.tune(train, "logreg", "class_weight")
     return round_doubles(table)
 
 
@@ -77,13 +74,12 @@ def _trn09(spark, sf):
 @register("trn_10_holdout_comparison")
 def _trn10(spark, sf):
     train, test = _split(spark, sf)
-    return TR.holdout_comparison(train, test, [("logreg", "class_weight"), ("logreg", "random_under")],
-                                 QUICK, 2)
+    return TR.holdout_comparison(train, test)
 
 
 @register("trn_11_sensor_run")
 def _trn11(spark, sf):
-    r = SPL.run(spark, FX.sensors(spark, sf), "logreg", "smote_enn", {"max_iter": 30}, k=2)
+    r = SPL.run(spark, FX.sensors(spark, sf), "logreg", "smote_enn")
     return round_doubles(r.predictions)
 
 
@@ -115,13 +111,16 @@ def _rte05(spark, sf):
     return scored.unionByName(bad)
 
 
-def _wafer_training(spark, sf, size=16):
+MAP_SIZE = 64
+
+
+def _wafer_training(spark, sf, size=MAP_SIZE):
     from .wafer_queries import labelled_wafers
     lab = W.filter_labeled(labelled_wafers(spark, sf), drop_none=False)
     classes = [r[0] for r in lab.select("label").distinct().orderBy("label").collect()]
     data = W.resized(lab, size).select("wafer_id", "label", "x")
     s = SP.stratified_three_way(data, "label", "wafer_id").cache()
-    model = TR.fit_wafer_classifier(s.filter(F.col("split") != "test"), classes, n_trees=30)
+    model = TR.fit_wafer_classifier(s.filter(F.col("split") != "test"), classes)
     return model, classes, s
 
 
@@ -138,7 +137,7 @@ def _trn12(spark, sf):
 def _rte06(spark, sf):
     model, classes, _ = _wafer_training(spark, sf)
     maps = S.wafer_rows(S.route(FX.requests(spark, sf).unionByName(FX.wafer_requests(spark, sf))))
-    x = W.resized(maps.where("error IS NULL"), 16)
+    x = W.resized(maps.where("error IS NULL"), MAP_SIZE)
     scored = TR.classify_wafers(model, x, classes).select("request_id", "map_idx", "pattern", "confidence",
                                                           F.lit(None).cast("string").alias("error"))
     bad = maps.where("error IS NOT NULL").select("request_id", "map_idx", F.lit(None).cast("string").alias("pattern"),
