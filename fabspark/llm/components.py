@@ -1,9 +1,16 @@
-"""Connected components of an edge list by alternating large-star / small-star rounds."""
+"""Connected components of an edge list by alternating large-star / small-star rounds.
+
+Nodes are longs. Defined cases: repeated edges and loops add nothing; an edge with a null end is left out; an
+empty list gives no rows; nodes without edges are not in the result. Hubs (nodes with over
+1/1000 of all edges, fewer than 1000 of them) meet their one-row minimum by broadcast, so
+their edges are never gathered in one task.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .hot_join import attach, hot_keys
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,11 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of u gets u's smallest neighbour
         both = held.select("a", "b").union(held.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = attach(both.where("v > u"), least.select("u", "m"), "u", hot_keys(least, "u", "n"))
+        large = cut_lineage(large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         # small star: u and its smaller neighbours get the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a").select(F.explode(F.array(
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        pairs = attach(large, low.select("a", "m"), "a", hot_keys(low, "a", "n")).select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         held = cut_lineage(pairs.select("e.a", "e.b").where("a <> b").distinct())
         was, mark = mark, _mark(held)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     decontaminate, filter_audit, jaccard_join, language, licenses, line_rules, packing, resampling, secrets_scan, sharding,
-    token_files)
+    simhash, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,6 +145,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets_scan.as_text(F.col("spans")).alias("spans"))
 
 
+@query("op11_simhash_neardup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), n=4, bits=4)
+
+
 # Documents counted by part and set of failing filters, then read off in every order.
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
