@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     decontaminate, filter_audit, jaccard_join, language, licenses, line_rules, packing, resampling, secrets_scan, sharding,
-    simhash, token_files)
+    simhash, token_files, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,6 +150,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), n=4, bits=4)
 
 
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the operator's deviation is a decimal; a long holds it up to about 1e8 rows of unit vectors
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=32)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 # Documents counted by part and set of failing filters, then read off in every order.
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),

@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 from itertools import combinations, permutations
 
 import numpy as np
@@ -7,7 +9,7 @@ import xxhash
 from llm_conftest import SF001, edges, empty, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from fabspark.llm import filter_audit, hot_join, simhash
+from fabspark.llm import exact_eigen, filter_audit, hot_join, simhash, whitening
 from fabspark.llm import queries as Q
 from fabspark.llm.components import components
 
@@ -195,3 +197,82 @@ def test_merges():
         a, b = (np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(2))
         assert filter_audit.union(a, b).tolist() == sorted({*a.tolist(), *b.tolist()})
         assert filter_audit.minus(a, b).tolist() == sorted({*a.tolist()} - {*b.tolist()})
+
+
+def brute_whitening(rows, most=32):
+    """By numpy's own eigensolver, from exact sums."""
+    kept = [(i, v) for i, v in rows if v is not None and all(e is not None and math.isfinite(e) for e in v)]
+    x = np.array([[math.floor(64 * float(e)) + 1000000 for e in v] for _, v in kept], dtype=object)
+    n, total = len(x), x.sum(axis=0)
+    off = x * n - total
+    cov = (off.T @ off).astype(float) / n ** 3
+    value, vector = np.linalg.eigh(cov)
+    value, vector = value[::-1][:most], vector[:, ::-1][:, :most]
+    return kept, n, [int(s) for s in (off ** 2).sum(axis=1)], value / np.trace(cov), (off / n).astype(float) @ vector / np.sqrt(value)
+
+
+def test_op12_equals_numpy(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF001}/embeddings.parquet").collect()]
+    kept, n, deviation, explained, white = brute_whitening(rows)
+    got = {(r["vec_id"], r["component"]): r for r in Q.QUERIES["op12_embedding_whitening"](spark, SF001).collect()}
+    assert len(got) == 32 * len(kept)
+    assert {r["n"] for r in got.values()} == {n}
+    errors = {r["identity_error"] for r in got.values()}
+    assert len(errors) == 1 and errors.pop() < 1e-9
+    mine = np.array([[got[i, c]["whitened"] for c in range(1, 33)] for i, _ in kept])
+    for c in range(32):
+        sign = np.sign((mine[:, c] * white[:, c]).sum())
+        assert np.allclose(mine[:, c] * sign, white[:, c], atol=1e-6)
+    assert [got[i, 1]["deviation"] for i, _ in kept] == deviation
+    assert np.allclose([got[kept[0][0], c]["explained"] for c in range(1, 33)], explained, rtol=1e-9)
+    assert np.abs(mine.T @ mine / n - np.eye(32)).max() < 1e-9
+
+
+def test_whitening_defined_cases(spark):
+    schema = "label int, vec_id bigint, embedding array<float>, w string, component string"
+    odd = [(0, None, [1.5, 2.0, 0.25], "w", "c"), (0, 1, None, None, None), (0, 2, [1.0, None, 2.0], None, None), (0, 3, [float("nan"), 1.0, 1.0], None, None),
+           (0, 4, [1.0, float("-inf"), 1.0], None, None), (0, 5, [-3.5, 1.0, 0.25], None, None), (0, 5, [-3.5, 1.0, 0.25], None, None), (0, 6, [0.0, 7.0, 0.25], None, None)]
+    got = whitening.whiten(spark.createDataFrame(odd, schema)).collect()
+    assert len(got) == 4 * 2 and {r["component"] for r in got} == {1, 2}         # the third dimension is constant
+    assert {r["n"] for r in got} == {4} and got[0]["identity_error"] < 1e-12
+    assert sum(r["explained"] for r in got if r["vec_id"] == 6) == pytest.approx(1)
+    frame = lambda rows: spark.createDataFrame([(0, i, v, "", "") for i, v in rows], schema)
+    for rows in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, None)], [(1, []), (2, [])]):
+        assert whitening.whiten(frame(rows)).collect() == []
+    # equal eigenvalues: a cross in three dimensions
+    axes = [(i, [s * 2.0 * (i == j) for j in range(3)]) for i in range(3) for s in (1, -1)]
+    got = whitening.whiten(frame(axes)).collect()
+    assert len(got) == 18 and got[0]["identity_error"] < 1e-12 and all(r["explained"] == pytest.approx(1 / 3) for r in got)
+    with pytest.raises(Exception, match="entries"):
+        whitening.whiten(frame([(1, [1.0, 2.0]), (2, [1.0])]))
+
+
+def test_whitening_of_large_entries_is_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.randrange(12) for _ in range(4)]) for i in range(50)]
+    fit = whitening.Scatter(whitening.finite_rows(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding"))
+    x = np.array([[math.floor(64 * e) for e in v] for _, v in rows], dtype=object)
+    assert fit.n == 50 and fit.matrix == (50 * (x.T @ x) - np.outer(x.sum(axis=0), x.sum(axis=0))).tolist()
+    top = whitening.whiten(spark.createDataFrame([(1, [3e300, 0.0]), (2, [-3e300, 1.0]), (3, [0.0, 2.0])], "vec_id bigint, embedding array<double>"))
+    assert top.count() == 6 and top.where("whitened IS NULL OR isnan(whitened)").count() == 0
+
+
+def test_polynomial_and_roots_are_exact():
+    rng = np.random.default_rng(4)
+    a = rng.integers(-9, 9, (5, 3))
+    m = (a @ a.T).tolist()                                                # rank 3: root zero is double
+    moduli = exact_eigen.primes_for(m)
+    poly = exact_eigen.remainder(exact_eigen.polynomials(m, moduli).tolist(), moduli)
+    assert np.allclose(poly, np.poly(np.array(m, dtype=float)), rtol=1e-9, atol=1e-3) and poly[4:] == [0, 0]
+    assert exact_eigen.roots_above(poly, 0, 0) == 3
+    for i, (at, e, inside) in enumerate(exact_eigen.isolate(poly, int(np.trace(m)), 5)):
+        root = Fraction(exact_eigen.refine(poly, at, e, inside, 200), 1 << 200)
+        assert float(root) == pytest.approx(np.linalg.eigvalsh(m)[::-1][i])
+    # two roots 2 apart near 2^60: vectors that doubles cannot tell apart
+    big = [[1 << 60, 1, 0], [1, 1 << 60, 0], [0, 0, (1 << 60) - 3]]
+    moduli = exact_eigen.primes_for(big)
+    poly = exact_eigen.remainder(exact_eigen.polynomials(big, moduli).tolist(), moduli)
+    bits = exact_eigen.fraction_bits(3 << 60)
+    roots = [exact_eigen.refine(poly, *p, bits) for p in exact_eigen.isolate(poly, 3 << 60, 3)]
+    assert [round(Fraction(r, 1 << bits)) - (1 << 60) for r in roots] == [1, -1, -3]
+    assert np.allclose(np.abs(exact_eigen.null_vectors(big, roots[0], bits, 1)), [[0.5 ** 0.5, 0.5 ** 0.5, 0]], atol=1e-15)
