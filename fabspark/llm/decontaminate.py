@@ -114,7 +114,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
-                             F.col("text").cast("binary").alias("text"))
+                             F.col("text").cast("binary").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // max_item_bytes))
     passed = docs.columns

@@ -319,5 +319,7 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     stays = join_components(docs, n, percent).where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")))
     stays = stays.select(F.col("doc_id").alias("_llm_kept")).where("_llm_kept IS NOT NULL").distinct()
     named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(stays, named["doc_id"].cast("long") == stays["_llm_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = named.join(stays, named["doc_id"].cast("long") == stays["_llm_kept"], "left_semi")
+    whole = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]   # maps cannot be compared
+    kept = kept.dropDuplicates(whole)
     return kept.union(docs.where("doc_id IS NULL"))

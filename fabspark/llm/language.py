@@ -20,7 +20,6 @@ repeated rows train as often as they occur; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import small_batches
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 20                  # bytes of a text scored at once
 _NOT_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -79,7 +77,7 @@ class Model:
         return total / max(1, n)
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         # logistic loss of each bit against each codeword
         loss = (self.weights * np.logaddexp(0.0, -self.temperature * self.code * self.margins(text))).sum(axis=1)

@@ -15,7 +15,7 @@ repeated rows are scanned each; empty tables and extra columns are fine.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -41,6 +41,8 @@ NOTICES = {
     "isc license": ("isc", 0.9), "boost software license": ("bsl-1.0", 0.9), "unlicense": ("unlicense", 0.7),
 }
 BASE_WEIGHT = 0.6
+#: Identifiers that may be met by default.
+ALLOWED = ("0bsd", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc0-1.0", "isc", "mit", "unlicense", "zlib")
 TAG = "spdx license identifier"
 _TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -113,14 +115,14 @@ def _machine() -> ahocorasick.Automaton:
     return found
 
 
-def scan(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], passed: list[str], allowed: set[str]) -> Iterator[pa.RecordBatch]:
     machine = _machine()
     for b in batches:
         rows = []
         for text in texts_as_bytes(b.column("text")):
             joined, starts, _ = split_words(text, ALNUM_WORDS)
             places: list[int] = []
-            base, labels, miss, expressions = set(), set(), {}, []
+            base, labels, miss, expressions, verdicts = set(), set(), {}, [], []
             for end, phrase in machine.iter(f" {joined.decode('latin-1')} "):
                 if phrase == TAG:
                     first, last = word_starts(text, ALNUM_WORDS)
@@ -129,6 +131,7 @@ def scan(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.Re
                     postfix = parse_expression(line.lstrip(" \t:\"'"))
                     if postfix:
                         expressions.append(" ".join(postfix))
+                        verdicts.append(permits(postfix, allowed))
                         labels |= identifiers(postfix)
                         miss[TAG] = 0.0
                     continue
@@ -142,19 +145,21 @@ def scan(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.Re
                     miss[phrase] = 1 - weight
             rows.append((len(starts), len(places), min(places, default=None), max(places, default=None),
                          ",".join(sorted(base)), ",".join(sorted(base | labels)),
-                         1.0 - float(np.prod(list(miss.values()) or [1.0])), expressions))
-        cols = list(zip(*rows)) or [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"]
+                         1.0 - float(np.prod(list(miss.values()) or [1.0])), expressions, all(verdicts) if verdicts else None))
+        cols = list(zip(*rows)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_())
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permitted"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in passed], *[pa.array(c, t) for c, t in zip(cols, kinds)]],
                                          names=[*passed, *names])
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id with word count, base places, labels, score and tagged expressions (postfix)."""
+def scan_licenses(docs: DataFrame, allowed: Iterable[str] = ALLOWED) -> DataFrame:
+    """doc_id with word count, base places, labels, score, tagged expressions (postfix) and ``permitted``: whether
+    all of its expressions may be met with the ``allowed`` identifiers (null without an expression)."""
     small_batches(docs.sparkSession)
+    allowed = {a.lower() for a in allowed}
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     return slim.mapInArrow(
-        lambda batches: scan(batches, ["doc_id"]),
+        lambda batches: scan(batches, ["doc_id"], allowed),
         "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
-        "labels string, score double, expressions array<string>")
+        "labels string, score double, expressions array<string>, permitted boolean")

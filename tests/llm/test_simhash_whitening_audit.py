@@ -9,7 +9,8 @@ import xxhash
 from llm_conftest import SF001, edges, empty, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from fabspark.llm import exact_eigen, filter_audit, hot_join, simhash, whitening
+import corpus_pipeline
+from fabspark.llm import decontaminate, exact_eigen, filter_audit, hot_join, language, licenses, simhash, whitening
 from fabspark.llm import queries as Q
 from fabspark.llm.components import components
 
@@ -276,3 +277,43 @@ def test_polynomial_and_roots_are_exact():
     roots = [exact_eigen.refine(poly, *p, bits) for p in exact_eigen.isolate(poly, 3 << 60, 3)]
     assert [round(Fraction(r, 1 << bits)) - (1 << 60) for r in roots] == [1, -1, -3]
     assert np.allclose(np.abs(exact_eigen.null_vectors(big, roots[0], bits, 1)), [[0.5 ** 0.5, 0.5 ** 0.5, 0]], atol=1e-15)
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "_ 3"), (3, "é")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(odd, language.learn(docs)).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
+
+
+def test_expressions_are_judged(spark):
+    tag = "x\n# SPDX-License-Identifier: "
+    docs = [(1, tag + "MIT OR GPL-2.0"), (2, tag + "MIT AND GPL-2.0"), (3, "mit license"), (4, None), (5, tag + "MIT" + tag + "GPL-3.0"),
+            (6, tag + "(Apache-2.0 WITH e OR GPL-2.0) AND ISC")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    verdict = lambda **k: {r["doc_id"]: r["permitted"] for r in licenses.scan_licenses(frame, **k).collect()}
+    assert verdict() == {1: True, 2: False, 3: None, 4: None, 5: False, 6: True}
+    assert verdict(allowed=["GPL-2.0", "MIT"]) == {1: True, 2: True, 3: None, 4: None, 5: False, 6: False}
+
+
+def test_pipeline_stages_keep_clashing_columns_and_differing_rows(spark):
+    long = prose(1, 200)
+    rows = [(1, long, "en", "a", 5, "KEEPME", "r"), (1, long, "de", "a", 5, "KEEPME", "r"), (2, long, "en", "a", 5, "x", "r"), (1, long, "en", "a", 5, "KEEPME", "r"),
+            (3, "token = abcdefghijkl99", "en", "b", 5, "y", "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _before string, root string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF001)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["lang"]) for r in kept.collect()) == [(1, "de"), (1, "en"), (3, "en")]
+    clean = corpus_pipeline.secret_scan(spark, docs, SF001)
+    assert clean.columns == docs.columns
+    got = {(r["doc_id"], r["lang"]): r for r in clean.collect()}
+    assert got[1, "en"]["_before"] == "KEEPME" and got[1, "de"]["n_chars"] == 5
+    assert "abcdefghijkl99" not in got[3, "en"]["text"] and got[3, "en"]["n_chars"] == len(got[3, "en"]["text"])
+
+
+def test_repeated_benchmark_rows_count_once(spark):
+    text = prose(11, 40)
+    docs = spark.createDataFrame([(1, "so " + text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", text)] * 50 + [("b", prose(12, 40))], "item_id string, text string")
+    got = decontaminate.find_leaks(docs, items, max_item_bytes=2 * len(text)).first()
+    assert got["n_hit"] == 40 and got["items"] == ["a"]
