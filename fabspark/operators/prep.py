@@ -134,6 +134,56 @@ def fit(train: DataFrame, x: str = "x", y: str = "y", names: list[str] | None =
     return m
 
 
+def fit_folds(folded: DataFrame, k: int, fold: str = "fold", x: str = "x", names: list[str] | None = None,
+              indicator_threshold: float = INDICATOR_THRESHOLD, missing_threshold: float = MISSING_THRESHOLD,
+              var_threshold: float = VAR_THRESHOLD) -> list[PrepModel]:
+    """``fit`` on the rows outside each of ``k`` folds, all at once: one aggregation by (fold, feature), from which
+    each fold's own part is left out, and one quantile run for the medians of all folds."""
+    long = folded.select(fold, F.posexplode(x).alias("i", "v"))
+    rows = long.groupBy(fold, "i").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("miss"),
+                                       F.avg("v").alias("mean"), F.var_pop("v").alias("var")).collect()
+    width = max((r["i"] for r in rows), default=-1) + 1
+    names = names or [f"feature_{i:03d}" for i in range(width)]
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))
+    outside = folded.select(F.explode(others).alias("_out"), F.col(x)).select("_out", F.posexplode(x).alias("i", "v"))
+    med = {(r["_out"], r["i"]): r["median"] for r in exact_median(outside, ["_out", "i"], "v").collect()}
+    return [_outside_fold(f, rows, med, names, fold, indicator_threshold, missing_threshold, var_threshold) for f in range(k)]
+
+
+def _outside_fold(f: int, rows, med: dict, names: list[str], fold: str, indicator_threshold: float, missing_threshold: float,
+                  var_threshold: float) -> PrepModel:
+    """The state of ``fit`` from the parts (count, missing, mean, variance) of all folds but ``f``."""
+    parts: dict[int, list] = {}
+    for r in rows:
+        if r[fold] != f:
+            parts.setdefault(r["i"], []).append(r)
+    width = len(names)
+    n = {i: sum(r["n"] for r in p) for i, p in parts.items()}
+    miss = {i: sum(r["miss"] for r in p) for i, p in parts.items()}
+    rate = [miss[i] / n[i] if n.get(i) else 0.0 for i in range(width)]
+    ind = [i for i in range(width) if indicator_threshold < rate[i] < 1.0]
+    rates = rate + [0.0] * len(ind)
+    keep = [j for j, r in enumerate(rates) if r <= missing_threshold] or list(range(len(rates)))
+
+    def state(j: int) -> tuple[float, float, float] | None:
+        """Median, mean and population variance of one column after imputation."""
+        if j >= width:                                       # an indicator: 1 where the value is missing
+            share = rate[ind[j - width]]
+            return (1.0 if share > 0.5 else 0.5 if share == 0.5 else 0.0), share, share * (1 - share)
+        median = med.get((f, j))
+        if median is None:
+            return None
+        blocks = [(r["n"] - r["miss"], r["mean"], r["var"]) for r in parts[j] if r["n"] > r["miss"]] + [(miss[j], median, 0.0)]
+        mean = sum(c * m for c, m, _ in blocks) / n[j]
+        return median, mean, sum(c * (v + (m - mean) ** 2) for c, m, v in blocks) / n[j]
+    found = [(j, s) for j in keep if (s := state(j)) is not None]     # all-missing columns are dropped
+    m = PrepModel(names, ind, [j for j, _ in found], [s[0] for _, s in found], [], [], [])
+    m.keep_var = [p for p, (_, s) in enumerate(found) if s[2] > var_threshold]
+    m.means = [found[p][1][1] for p in m.keep_var]
+    m.stds = [found[p][1][2] ** 0.5 or 1.0 for p in m.keep_var]
+    return m
+
+
 def anova_f(df: DataFrame, xcol: str, y: str) -> DataFrame:
     """``(i, score)``: one-way ANOVA F statistic of each feature across classes
     (between-class mean square / within-class mean square); NULL when undefined."""

@@ -1,27 +1,27 @@
-"""Sensor pass/fail training, cross-validation, selection and scoring with
-Spark ML, plus the wafer-pattern classifier.
-
-Every step is a Spark job on DataFrames: preparation (``prep``) and
-resampling (``resample``/``smote``) are fitted inside each training fold
-only, estimators are Spark ML, and fold scores are evaluated with the exact
-curve operators of ``evaluate``. Estimator mapping (documented deviations):
-
-* logreg      -> LogisticRegression, L2, regParam = 1 / (C * sum(w)), no
-                 standardisation (the sklearn C-objective on the same data)
-* balanced_rf -> RandomForestClassifier on class-balanced weights (the
-                 per-tree balanced bootstrap has no Spark ML equivalent)
-* hist_gb     -> GBTClassifier(stepSize 0.1, maxIter 300); no l2 term in Spark
-* xgboost     -> GBTClassifier(maxDepth 4, stepSize .05, subsamplingRate .9,
-                 featureSubsetStrategy 0.8, maxIter 400) with scale_pos_weight
-                 as the positive-class weight
+"""Sensor pass/fail training, cross-validation, selection and scoring, plus the wafer-pattern classifier.
+
+Preparation (``prep``) and resampling (``resample``/``smote``) are fitted inside each training fold only. What the
+folds need is made once (``Folds``) and shared by every configuration and every draw of parameters: k preparations
+come from one aggregation and one quantile run, each resampled fold is held once a strategy. All tree models of
+a comparison or search are grown in one job keyed by model (``trees``); metrics of all (model, fold) pairs come from
+one grouped curve. Estimators:
+
+* logreg      -> Spark ML LogisticRegression, L2, regParam = 1 / (C * sum(w)), no standardisation
+* balanced_rf -> ``trees``: a balanced bootstrap a tree, Gini splits
+* hist_gb     -> ``trees``: best-first growth to a leaf limit, l2, at least 20 rows a leaf
+* xgboost     -> ``trees``: growth to a depth, l2, minimum hessian of a child, samples of rows and columns, positives
+                 weighted by the class ratio
+
+Trees are grown from a bounded labelled sample (``trees.MAX_ROWS`` rows a frame).
 """
 from __future__ import annotations
 
+import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import evaluate as E
 from . import prep as PR
 from . import resample as RS
+from . import trees as T
+from ..session import cut_lineage
 from .split import SEED, class_counts, stratified_folds
 
 # Estimator names, scorer names, and search spaces.
@@ -46,35 +48,29 @@ PARAM_GRIDS = {
 DEFAULT_PARAMS = {
     "logreg": {"C": 1.0, "max_iter": 5000},
     "balanced_rf": {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 1, "max_features": "sqrt"},
-    "hist_gb": {"learning_rate": 0.1, "max_iter": 300},
+    "hist_gb": {"learning_rate": 0.1, "max_iter": 300, "max_leaf_nodes": 31, "l2_regularization": 1.0, "min_samples_leaf": 20},
     "xgboost": {"n_estimators": 400, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.9,
-                "colsample_bytree": 0.8},
+                "colsample_bytree": 0.8, "min_child_weight": 1, "l2_regularization": 1.0},
 }
 DEFAULT_CONFIGS = [("logreg", "smote_enn"), ("logreg", "class_weight"), ("balanced_rf", "none"),
                    ("hist_gb", "class_weight"), ("xgboost", "none")]
 
 
-def build_estimator(name: str, params: dict | None = None, sum_w: float = 1.0, seed: int = SEED):
+log = logging.getLogger(__name__)
+THREADS = 8                          # Spark ML fits submitted side by side
+ROWS_A_PARTITION = 50_000
+
+
+def _params(name: str, params: dict | None) -> dict:
     if name not in ESTIMATORS:
-        raise ValueError(f"Unknown estimator {name!r}. Valid: {ESTIMATORS}")
+        raise ValueError(f"no estimator is called {name!r}; there are {', '.join(ESTIMATORS)}")
     p = {**DEFAULT_PARAMS[name], **(params or {})}
-    common = dict(featuresCol="features_vec", labelCol="label", weightCol="weight")
-    if name == "logreg":
-        return LogisticRegression(regParam=1.0 / (p["C"] * sum_w), elasticNetParam=0.0, standardization=False,
-                                  maxIter=int(p["max_iter"]), tol=1e-9, **common)
-    if name == "balanced_rf":
-        mf = p["max_features"]
-        return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=int(p["max_depth"] or 30),
-                                      minInstancesPerNode=int(p["min_samples_leaf"]),
-                                      featureSubsetStrategy=str(mf), seed=seed, **common)
-    if name == "hist_gb":
-        depth = max(2, (int(p.get("max_leaf_nodes", 31)) - 1).bit_length())    # ceil(log2(leaves))
-        return GBTClassifier(stepSize=float(p["learning_rate"]), maxIter=int(p["max_iter"]), maxDepth=depth,
-                             seed=seed, **common)
-    return GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]),
-                         stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]),
-                         featureSubsetStrategy=str(p["colsample_bytree"]),
-                         minWeightFractionPerNode=0.0, seed=seed, **common)
+    return {**p, "n_trees": p.get("max_iter", p.get("n_estimators"))}
+
+
+def _logreg(p: dict, sum_w: float) -> LogisticRegression:
+    return LogisticRegression(regParam=1.0 / (p["C"] * sum_w), elasticNetParam=0.0, standardization=False,
+                              maxIter=int(p["max_iter"]), featuresCol="features_vec", labelCol="label", weightCol="weight")
 
 
 @dataclass
@@ -109,7 +105,7 @@ class SensorModel:
 def _weights(counts: dict, strategy: str, estimator: str) -> dict:
     """Per-class weights from the WHOLE training target (not per fold)."""
     n, k = sum(counts.values()), len(counts)
-    if strategy == "class_weight" or estimator == "balanced_rf":
+    if strategy == "class_weight":
         return {c: n / (k * v) for c, v in counts.items()}
     if estimator == "xgboost":
         pos = counts.get(1, 0)
@@ -125,86 +121,172 @@ def _weight_col(y: str, weights: dict):
     return expr.otherwise(F.lit(1.0))
 
 
+def _resampled(prepared: DataFrame, strategy: str, y: str, seed: int) -> DataFrame:
+    """(unit_id, y, features) after the strategy's sampler."""
+    plan = RS.build_plan(strategy, y=y, id_col="unit_id", x="features", seed=seed)
+    out = prepared if plan.sampler is None else plan.sampler(prepared)
+    return out.select("unit_id", y, "features")
+
+
+def _fit_frames(frames: dict[int, DataFrame], models: list[dict], y: str, seed: int) -> list:
+    """One fitted model per entry of ``models`` ({frame, estimator, params, weights}); ``frames`` are held (unit_id, y,
+    features). Trees of all models come from one job; Spark ML fits run side by side."""
+    out: list = [None] * len(models)
+    trees = [m for m, spec in enumerate(models) if spec["estimator"] != "logreg"]
+    if trees:
+        used, rows = sorted({models[m]["frame"] for m in trees}), None
+        for i in used:
+            part = frames[i].select(F.lit(i).alias("frame"), "unit_id", F.col(y).alias("y"), "features")
+            rows = part if rows is None else rows.unionByName(part)
+        for m, fitted in zip(trees, T.fit_trees(rows, [models[m] for m in trees], seed)):
+            out[m] = fitted
+
+    def logistic(m: int) -> None:
+        spec = models[m]
+        f = (frames[spec["frame"]].withColumn("weight", _weight_col(y, spec["weights"])).withColumn("label", F.col(y).cast("double"))
+             .withColumn("features_vec", array_to_vector("features")))
+        out[m] = _logreg(spec["params"], f.agg(F.sum("weight")).first()[0]).fit(f)
+
+    with ThreadPoolExecutor(max_workers=THREADS) as pool:
+        list(pool.map(logistic, [m for m, spec in enumerate(models) if spec["estimator"] == "logreg"]))
+    return out
+
+
+def _spec(frame: int, estimator: str, strategy: str, params: dict | None, weights: dict) -> dict:
+    if estimator == "balanced_rf" and strategy != "none":
+        log.warning("balanced_rf draws balanced samples by itself; with strategy %r rows are balanced twice", strategy)
+    return {"frame": frame, "estimator": estimator, "params": _params(estimator, params), "weights": weights}
+
+
+def fit_models(train: DataFrame, configs: list[tuple], weights: dict | None = None, seed: int = SEED,
+               k_features: int | None = None, y: str = "y") -> list[SensorModel]:
+    """TRN-09 fit step for several (estimator, strategy, params): one preparation on ``train``, one resampled frame a
+    strategy, then the estimators."""
+    counts = class_counts(train, y)
+    train = train.select("unit_id", y, "x").persist(StorageLevel.MEMORY_AND_DISK)
+    held = [train]
+    try:
+        prep = PR.fit(train, k_features=k_features)
+        prepared = prep.transform(train, "x", "features").select("unit_id", y, "features")
+        strategies = list(dict.fromkeys(s for _, s, _ in configs))
+        frames = {}
+        for i, strategy in enumerate(strategies):
+            frames[i] = _few_partitions(_resampled(prepared, strategy, y, seed), sum(counts.values())).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(frames[i])
+        specs = [_spec(strategies.index(s), e, s, p, weights or _weights(counts, s, e)) for e, s, p in configs]
+        fitted = _fit_frames(frames, specs, y, seed)
+    finally:
+        for f in held:
+            f.unpersist()
+    return [SensorModel(prep, m, e, s, metadata={"params": dict(p or {})}) for m, (e, s, p) in zip(fitted, configs)]
+
+
 def fit_sensor_model(train: DataFrame, estimator: str = "logreg", strategy: str = "smote_enn",
                      params: dict | None = None, weights: dict | None = None, seed: int = SEED,
                      k_features: int | None = None, y: str = "y") -> SensorModel:
     """TRN-09 fit step: prep on ``train`` -> resample -> weights -> estimator."""
-    counts = class_counts(train, y)
-    weights = weights or _weights(counts, strategy, estimator)
-    prep = PR.fit(train, k_features=k_features)
-    f = prep.transform(train.select("unit_id", y, "x"), "x", "features").select("unit_id", y, "features")
-    plan = RS.build_plan(strategy, y=y, id_col="unit_id", x="features", seed=seed)
-    if plan.sampler is not None:
-        f = plan.sampler(f).select("unit_id", y, "features")
-    f = (f.withColumn("weight", _weight_col(y, weights)).withColumn("label", F.col(y).cast("double"))
-         .withColumn("features_vec", array_to_vector("features")))
-    # the (resampled) training frame feeds several passes (stats, then every
-    # optimiser iteration): materialise it once, spilling to disk if needed
-    f = f.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sum_w = f.agg(F.sum("weight")).first()[0]
-        model = build_estimator(estimator, params, sum_w, seed).fit(f)
-    finally:
-        f.unpersist()
-    return SensorModel(prep, model, estimator, strategy, metadata={"params": dict(params or {})})
+    return fit_models(train, [(estimator, strategy, params)], weights, seed, k_features, y)[0]
+
+
+def _few_partitions(df: DataFrame, rows: int) -> DataFrame:
+    """Small frames in few partitions: every iteration of a fit is a task a partition."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PARTITION)))
 
 
 # ---------------------------------------------------------------- CV
-def _fold_metrics(scored: DataFrame, y: str = "y") -> dict:
-    pts = E.curve_points(scored, y, "score").cache()
-    m = E.metrics_at_threshold(scored, E.DEFAULT_THRESHOLD, y, "score").first()
-    return {"pr_auc": E.average_precision(pts).first()[0], "roc_auc": E.roc_auc(pts).first()[0],
-            "recall_fail": m["recall"], "f1_fail": m["f1"], "balanced_acc": m["balanced_accuracy"],
-            "g_mean": m["g_mean"], "mcc": m["mcc"]}
+class Folds:
+    """The k folds of a training split, prepared once: a preparation per fold, fitted outside of it, and the
+    prepared (and resampled) training frames, held until ``close``."""
+
+    def __init__(self, train: DataFrame, k: int = 5, seed: int = SEED, y: str = "y", k_features: int | None = None):
+        self.k, self.seed, self.y = k, seed, y
+        self.counts = class_counts(train, y)
+        rows = sum(self.counts.values())
+        self.folded = _few_partitions(stratified_folds(train, k, y, "unit_id", seed).select("unit_id", y, "x", "fold"), rows)
+        self.folded = self.folded.persist(StorageLevel.MEMORY_AND_DISK)
+        self._held, self._frames = [self.folded], {}
+        if k_features is None:
+            self.preps = PR.fit_folds(self.folded, k)
+        else:
+            self.preps = [PR.fit(self.folded.where(F.col("fold") != i), k_features=k_features) for i in range(k)]
+
+    def training(self, i: int, strategy: str) -> DataFrame:
+        """(unit_id, y, features) of the rows outside fold i, resampled."""
+        if strategy == "class_weight":
+            strategy = "none"
+        if (i, strategy) not in self._frames:
+            prepared = self.preps[i].transform(self.folded.where(F.col("fold") != i), "x", "features").select("unit_id", self.y, "features")
+            self._frames[i, strategy] = _resampled(prepared, strategy, self.y, self.seed).persist(StorageLevel.MEMORY_AND_DISK)
+            self._held.append(self._frames[i, strategy])
+        return self._frames[i, strategy]
+
+    def close(self) -> None:
+        for f in self._held:
+            f.unpersist()
+
+    def __enter__(self) -> Folds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def cross_validate_many(folds: Folds, configs: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(config, fold, 7 scorers) and the out-of-fold scores (config, fold, unit_id, y, score) of every
+    (estimator, strategy, params); ``config`` is the place in the list."""
+    y, strategies = folds.y, list(dict.fromkeys("none" if s == "class_weight" else s for _, s, _ in configs))
+    with ThreadPoolExecutor(max_workers=THREADS) as pool:             # samplers are chains of small jobs
+        made = list(pool.map(lambda key: (key, folds.training(*key)), [(i, s) for s in strategies for i in range(folds.k)]))
+    frames = {n: f for n, (_, f) in enumerate(made)}
+    place = {key: n for n, (key, _) in enumerate(made)}
+    wanted = [(c, i, e, s, p) for c, (e, s, p) in enumerate(configs) for i in range(folds.k)]
+    specs = [_spec(place[i, "none" if s == "class_weight" else s], e, s, p, _weights(folds.counts, s, e)) for c, i, e, s, p in wanted]
+    oof = None
+    for (c, i, e, s, _), model in zip(wanted, _fit_frames(frames, specs, y, folds.seed)):
+        scored = SensorModel(folds.preps[i], model, e, s).score(folds.folded.where(F.col("fold") == i))
+        scored = scored.select(F.lit(c).alias("config"), "fold", "unit_id", F.col(y).alias("y"), "score")
+        oof = scored if oof is None else oof.unionByName(scored)
+    oof, by = cut_lineage(oof), ["config", "fold"]
+    points = E.curve_points(oof, "y", "score", by)
+    at = E.metrics_at_threshold(oof, E.DEFAULT_THRESHOLD, "y", "score", by).select(
+        *by, F.col("recall").alias("recall_fail"), F.col("f1").alias("f1_fail"), F.col("balanced_accuracy").alias("balanced_acc"), "g_mean", "mcc")
+    ap = E.average_precision(points, by).withColumnRenamed("average_precision", "pr_auc")
+    return cut_lineage(ap.join(E.roc_auc(points, by), by).join(at, by).select(*by, *SCORERS)), oof
 
 
 def cross_validate(train: DataFrame, estimator: str, strategy: str, k: int = 5, params: dict | None = None,
-                   seed: int = SEED, y: str = "y", k_features: int | None = None, parallel_folds: int | None = None):
+                   seed: int = SEED, y: str = "y", k_features: int | None = None):
     """TRN-05 / TRN-08: per-fold metrics (7 scorers) and the out-of-fold scores
-    of every training row. Returns (fold_metrics DataFrame, oof DataFrame).
-
-    Folds are independent Spark jobs; they are submitted from ``parallel_folds``
-    driver threads (default: all k) so small jobs overlap on the cluster."""
-    from concurrent.futures import ThreadPoolExecutor
-    spark = train.sparkSession
-    weights = _weights(class_counts(train, y), strategy, estimator)
-    folded = stratified_folds(train, k, y, "unit_id", seed).cache()
-
-    def run_fold(i):
-        m = fit_sensor_model(folded.filter(F.col("fold") != i), estimator, strategy, params, weights, seed,
-                             k_features, y)
-        val = m.score(folded.filter(F.col("fold") == i)).select("unit_id", y, "score", F.lit(i).alias("fold"))
-        val = val.cache()
-        return (i, *[float(v) if v is not None else None for v in _fold_metrics(val, y).values()]), val
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel_folds or k)) as pool:
-        results = list(pool.map(run_fold, range(k)))
-    rows = [r for r, _ in results]
-    oof = None
-    for _, val in results:
-        oof = val if oof is None else oof.unionByName(val)
-    metrics = spark.createDataFrame(rows, "fold int, " + ", ".join(f"{s} double" for s in SCORERS))
-    return metrics, oof
+    of every training row. Returns (fold_metrics DataFrame, oof DataFrame)."""
+    with Folds(train, k, seed, y, k_features) as folds:
+        metrics, oof = cross_validate_many(folds, [(estimator, strategy, params)])
+    return metrics.drop("config"), oof.select("unit_id", F.col("y").alias(y), "score", "fold")
 
 
-def cv_summary(metrics: DataFrame, estimator: str, strategy: str) -> DataFrame:
-    """Mean and population std (ddof=0) per scorer: one row."""
+def _means(metrics: DataFrame, by=()) -> DataFrame:
+    """Mean and population std (ddof=0) per scorer."""
     aggs = []
     for s in SCORERS:
         aggs += [F.avg(s).alias(f"{s}_mean"), F.stddev_pop(s).alias(f"{s}_std")]
-    return metrics.agg(*aggs).select(F.lit(estimator).alias("estimator"), F.lit(strategy).alias("strategy"), "*")
+    return metrics.groupBy(*by).agg(*aggs)
+
+
+def cv_summary(metrics: DataFrame, estimator: str, strategy: str) -> DataFrame:
+    """Mean and population std (ddof=0) per scorer: one row."""
+    return _means(metrics).select(F.lit(estimator).alias("estimator"), F.lit(strategy).alias("strategy"), "*")
 
 
 def compare_configs(train: DataFrame, configs=None, k: int = 5, params: dict | None = None,
                     seed: int = SEED) -> DataFrame:
     """TRN-06 / SRT-03: CV every (estimator, strategy) on the training split,
     sorted by mean PR-AUC (descending)."""
-    out = None
-    for est, strat in configs or DEFAULT_CONFIGS:
-        met, _ = cross_validate(train, est, strat, k, (params or {}).get(est), seed)
-        row = cv_summary(met, est, strat)
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.col("pr_auc_mean").desc_nulls_last(), "estimator", "strategy")
+    configs = list(configs or DEFAULT_CONFIGS)
+    with Folds(train, k, seed) as folds:
+        metrics, _ = cross_validate_many(folds, [(e, s, (params or {}).get(e)) for e, s in configs])
+    names = train.sparkSession.createDataFrame([(c, e, s) for c, (e, s) in enumerate(configs)], "config int, estimator string, strategy string")
+    out = _means(metrics, ["config"]).join(F.broadcast(names), "config").drop("config")
+    return out.select("estimator", "strategy", *[c for c in out.columns if c not in ("estimator", "strategy")]).orderBy(
+        F.col("pr_auc_mean").desc_nulls_last(), "estimator", "strategy")
 
 
 def draw_params(estimator: str, n_iter: int = 25, seed: int = SEED) -> list[dict]:
@@ -223,15 +305,15 @@ def tune(train: DataFrame, estimator: str, strategy: str, n_iter: int = 25, k: i
          base_params: dict | None = None):
     """TRN-07: randomized search scored by mean PR-AUC; refit the best on all
     of ``train``. Returns (best model, best params, best score, all results)."""
-    spark = train.sparkSession
-    results, drawn = [], draw_params(estimator, n_iter, seed)
-    for p in drawn:
-        met, _ = cross_validate(train, estimator, strategy, k, {**(base_params or {}), **p}, seed)
-        results.append((str(p), met.agg(F.avg("pr_auc")).first()[0]))
+    drawn = draw_params(estimator, n_iter, seed)
+    with Folds(train, k, seed) as folds:
+        metrics, _ = cross_validate_many(folds, [(estimator, strategy, {**(base_params or {}), **p}) for p in drawn])
+    mean = {r["config"]: r["pr_auc"] for r in metrics.groupBy("config").agg(F.avg("pr_auc").alias("pr_auc")).collect()}   # a row a draw
+    results = [(str(p), mean.get(c)) for c, p in enumerate(drawn)]
     i_best = max(range(len(results)), key=lambda j: results[j][1] if results[j][1] is not None else float("-inf"))
     best, best_s = {**(base_params or {}), **drawn[i_best]}, results[i_best][1]
     model = fit_sensor_model(train, estimator, strategy, best, seed=seed)
-    table = spark.createDataFrame(results, "params string, pr_auc double")
+    table = train.sparkSession.createDataFrame(results, "params string, pr_auc double")
     return model, best, best_s, table
 
 
@@ -259,63 +341,69 @@ def holdout_comparison(train: DataFrame, test: DataFrame, configs=None, params:
                        k: int = 5, seed: int = SEED) -> DataFrame:
     """TRN-10: one row per configuration with test metrics (rounded to 3) and
     ``*`` on the best cross-validated PR-AUC."""
-    cmp_ = compare_configs(train, configs, k, params, seed).cache()
-    rows = None
-    for est, strat in configs or DEFAULT_CONFIGS:
-        m = fit_sensor_model(train, est, strat, (params or {}).get(est), seed=seed)
-        s = m.score(test)
-        pts = E.curve_points(s, "y", "score")
-        r = (E.metrics_at_threshold(s, E.DEFAULT_THRESHOLD)
-             .select(F.lit(est).alias("estimator"), F.lit(strat).alias("strategy"),
-                     E.average_precision(pts).select("average_precision").scalar().alias("test_pr_auc"),
-                     E.roc_auc(pts).select("roc_auc").scalar().alias("test_roc_auc"), "recall", "f1", "mcc"))
-        rows = r if rows is None else rows.unionByName(r)
+    configs = list(configs or DEFAULT_CONFIGS)
+    cmp_ = compare_configs(train, configs, k, params, seed)
+    models, scored = fit_models(train, [(e, s, (params or {}).get(e)) for e, s in configs], seed=seed), None
+    for c, m in enumerate(models):
+        part = m.score(test).select(F.lit(c).alias("config"), "y", "score")
+        scored = part if scored is None else scored.unionByName(part)
+    scored = cut_lineage(scored)
+    points = E.curve_points(scored, "y", "score", ["config"])
+    names = train.sparkSession.createDataFrame([(c, e, s) for c, (e, s) in enumerate(configs)], "config int, estimator string, strategy string")
+    rows = (E.metrics_at_threshold(scored, E.DEFAULT_THRESHOLD, group_cols=["config"])
+            .join(E.average_precision(points, ["config"]).withColumnRenamed("average_precision", "test_pr_auc"), "config")
+            .join(E.roc_auc(points, ["config"]).withColumnRenamed("roc_auc", "test_roc_auc"), "config").join(F.broadcast(names), "config"))
     best = cmp_.select("estimator", "strategy").limit(1).withColumn("best", F.lit("*"))
     out = rows.join(best, ["estimator", "strategy"], "left").fillna({"best": ""})
     return out.select("estimator", "strategy", *[F.round(c, 3).alias(c) for c in
                                                   ("test_pr_auc", "test_roc_auc", "recall", "f1", "mcc")], "best")
 
 
-def feature_importance(m: SensorModel) -> DataFrame:
-    """EVL-11: |coefficients| for linear models, tree importances otherwise
-    (one row per model feature, built from the fitted model's state)."""
+def feature_importance(m: SensorModel, test: DataFrame | None = None, n_repeats: int = 10) -> DataFrame:
+    """EVL-11: |coefficients| for linear models, share of the gain for forests and xgboost; hist_gb has none of its own and takes
+    ``permutation_importance`` on ``test``. One row per model feature (permutation: per input)."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
     names = m.feature_names
     if hasattr(m.model, "coefficients"):
         imp, method = [abs(v) for v in m.model.coefficients.toArray()], "coef"
+    elif m.estimator == "hist_gb" and test is not None:
+        return permutation_importance(m, test, n_repeats).orderBy(F.col("importance").desc(), "feature")
     else:
-        imp, method = list(m.model.featureImportances.toArray()), "tree"
+        imp, method = m.model.importances(len(names)), "tree"
     rows = [(n, float(v), 0.0, method) for n, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double, std double, method string") \
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double, std double, method string") \
         .orderBy(F.col("importance").desc(), "feature")
 
 
+def permuted(test: DataFrame, features: list[int], n_repeats: int, seed: int = SEED, id_col: str = "unit_id", x: str = "x") -> DataFrame:
+    """``test`` once per (feature, repeat), that slot of ``x`` taken from another row: the row of rank r in one seeded
+    order receives the value of the row of rank r in an order drawn for the pair. One ranking, one join for all pairs."""
+    from .split import seeded_rank
+    ranked = seeded_rank(test, id_col, (), seed)
+    pairs = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for r in range(n_repeats)])
+                                          for f in features])))
+    donors = test.select(id_col, x, pairs.alias("p")).select(
+        F.col("p.feature").alias("feature"), F.col("p.repeat").alias("repeat"), F.get(x, F.col("p.feature")).alias("_v"),
+        F.concat_ws(":", F.col(id_col).cast("string"), F.col("p.feature").cast("string"), F.col("p.repeat").cast("string")).alias("_id"))
+    donors = seeded_rank(donors, "_id", ["feature", "repeat"], seed + 1).drop("_id")
+    out = ranked.join(donors, "rank")
+    return out.withColumn(x, F.transform(x, lambda v, j: F.when(j == F.col("feature"), F.col("_v")).otherwise(v))).drop("rank", "_v")
+
+
 def permutation_importance(m: SensorModel, test: DataFrame, n_repeats: int = 10, seed: int = SEED,
                            features: list[int] | None = None) -> DataFrame:
-    """EVL-11 fallback: drop in average precision when one input slot is
-    shuffled, mean and population std over ``n_repeats``. The shuffle pairs
-    row rank r (seeded hash order) with the row of rank r in a second seeded
-    order: two range-bucketed rankings and an equi-join, no global window."""
-    from .split import seeded_rank
-    spark = test.sparkSession
+    """EVL-11: drop in average precision when one input slot is permuted, mean and population std over
+    ``n_repeats``. All (feature, repeat) pairs are scored in one job, their curves are one grouped curve."""
     base = E.average_precision(E.curve_points(m.score(test), "y", "score")).first()[0]
-    width = test.select(F.max(F.size("x"))).first()[0]
-    ranked = seeded_rank(test, "unit_id", (), seed).cache()
-    rows = []
-    for i in (features if features is not None else range(width)):
-        drops = []
-        for rep in range(n_repeats):
-            donors = (seeded_rank(test, "unit_id", (), seed * 1_000_003 + i * 101 + rep + 1)
-                      .select("rank", F.get("x", i).alias("_v")))
-            shuffled = ranked.join(donors, "rank").withColumn(
-                "x", F.transform("x", lambda v, j: F.when(j == i, F.col("_v")).otherwise(v)))
-            ap = E.average_precision(E.curve_points(m.score(shuffled), "y", "score")).first()[0]
-            drops.append(base - ap)
-        mu = sum(drops) / len(drops)
-        sd = (sum((d - mu) ** 2 for d in drops) / len(drops)) ** 0.5
-        rows.append((f"feature_{i:03d}", mu, sd, "permutation"))
-    return spark.createDataFrame(rows, "feature string, importance double, std double, method string")
+    names = m.prep.names_in
+    features = list(range(len(names))) if features is None else list(features)
+    by = ["feature", "repeat"]
+    scored = cut_lineage(m.score(permuted(test, features, n_repeats, seed)).select(*by, "y", "score"))
+    ap = E.average_precision(E.curve_points(scored, "y", "score", by), by)
+    drops = ap.groupBy("feature").agg(F.avg(F.lit(base) - F.col("average_precision")).alias("importance"),
+                                      F.stddev_pop(F.lit(base) - F.col("average_precision")).alias("std"))
+    listed = F.array(*[F.lit(n) for n in names])
+    return drops.select(F.get(listed, F.col("feature")).alias("feature"), "importance", "std", F.lit("permutation").alias("method"))
 
 
 # ------------------------------------------------------------- TRN-12
