@@ -65,20 +65,28 @@ class PrepModel:
                           lambda i: F.when(F.get(x, i).isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
         return F.concat(x, ind)
 
+    def _gather(self, x, picks, finish=lambda v, pos: v):
+        """One pass over the picked columns, each straight from its source slot: a step built on the array
+        of the step before would compute that array anew for every element."""
+        width = len(self.names_in)
+        source = [self.keep_missing[p] for p in picks]
+        flags = _lit_array([j >= width for j in source], "boolean")
+        slots = _lit_array([self.indicator_idx[j - width] if j >= width else j for j in source], "int")
+        medians = _lit_array([self.medians[p] for p in picks], "double")
+
+        def value(slot, pos):
+            v = F.get(x, slot)
+            missing = F.when(v.isNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+            return finish(F.when(F.get(flags, pos), missing).otherwise(F.coalesce(v, F.get(medians, pos))), pos)
+        return F.transform(slots, value)
+
     def imputed(self, x):
-        x1 = self.with_indicators(x)
-        med = _lit_array(self.medians, "double")
-        return F.transform(_lit_array(self.keep_missing, "int"),
-                           lambda j, pos: F.coalesce(F.get(x1, j), F.get(med, pos)))
+        return self._gather(x, range(len(self.keep_missing)))
 
     def scaled(self, x):
-        x2 = self.imputed(x)
-        mu, sd = _lit_array(self.means, "double"), _lit_array(self.stds, "double")
-        out = F.transform(_lit_array(self.keep_var, "int"),
-                          lambda j, pos: (F.get(x2, j) - F.get(mu, pos)) / F.get(sd, pos))
-        if self.selected is not None:
-            out = F.transform(_lit_array(self.selected, "int"), lambda j: F.get(out, j))
-        return out
+        chosen = range(len(self.keep_var)) if self.selected is None else self.selected
+        mu, sd = (_lit_array([v[q] for q in chosen], "double") for v in (self.means, self.stds))
+        return self._gather(x, [self.keep_var[q] for q in chosen], lambda v, pos: (v - F.get(mu, pos)) / F.get(sd, pos))
 
     def transform(self, df: DataFrame, x: str = "x", out: str = "features") -> DataFrame:
         return df.withColumn(out, self.scaled(F.col(x)))
@@ -99,27 +107,10 @@ def fit(train: DataFrame, x: str = "x", y: str = "y", names: list[str] | None =
     """FIT-08: fit every step on ``train`` only."""
     width = train.select(F.max(F.size(x))).first()[0] or 0
     names = names or [f"feature_{i:03d}" for i in range(width)]
-    rates = _collect_map(_long(train, F.col(x)).groupBy("i").agg(
-        (F.count_if(F.col("v").isNull()) / F.count("*")).alias("rate")), "i", "rate")
-    ind = [i for i in range(width) if indicator_threshold < rates.get(i, 0.0) < 1.0]      # FIT-01
-    rates1 = [rates.get(i, 0.0) for i in range(width)] + [0.0] * len(ind)
-    keep1 = [j for j, r in enumerate(rates1) if r <= missing_threshold] or list(range(len(rates1)))  # FIT-02
-    m = PrepModel(names, ind, keep1, [], [], [], [])
-    x1 = m.with_indicators(F.col(x))
-    sel1 = F.transform(_lit_array(keep1, "int"), lambda j: F.get(x1, j))
-    long1 = _long(train, sel1)
-    med = _collect_map(exact_median(long1, ["i"], "v"), "i", "median")                        # FIT-03
-    keep1b = [p for p in range(len(keep1)) if med.get(p) is not None]   # all-missing columns are dropped
-    m.keep_missing = [keep1[p] for p in keep1b]
-    m.medians = [float(med[p]) for p in keep1b]
-    long2 = _long(train, m.imputed(F.col(x)))
-    st = long2.groupBy("i").agg(F.var_pop("v").alias("var"), F.avg("v").alias("mean"),
-                                F.stddev_pop("v").alias("std")).collect()
-    st = {r["i"]: r for r in st}
-    keep2 = [j for j in range(len(m.keep_missing)) if (st[j]["var"] or 0.0) > var_threshold]   # FIT-04
-    m.keep_var = keep2
-    m.means = [float(st[j]["mean"]) for j in keep2]                                            # FIT-05
-    m.stds = [float(st[j]["std"]) if st[j]["std"] else 1.0 for j in keep2]
+    long = _long(train, F.col(x)).withColumn("fold", F.lit(1))
+    med = {(0, r["i"]): r["median"] for r in exact_median(long, ["i"], "v").collect()}
+    m = _outside_fold(0, _parts(long, "fold"), med, names, "fold", indicator_threshold, missing_threshold, var_threshold)
+    keep2 = m.keep_var
     if k_features is not None and k_features < len(keep2):                                     # FIT-06
         scored = train.select(F.col(y), m.scaled(F.col(x)).alias("_f"))
         sc = anova_f(scored, "_f", y) if score == "f" else None
@@ -140,8 +131,7 @@ def fit_folds(folded: DataFrame, k: int, fold: str = "fold", x: str = "x", names
     """``fit`` on the rows outside each of ``k`` folds, all at once: one aggregation by (fold, feature), from which
     each fold's own part is left out, and one quantile run for the medians of all folds."""
     long = folded.select(fold, F.posexplode(x).alias("i", "v"))
-    rows = long.groupBy(fold, "i").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("miss"),
-                                       F.avg("v").alias("mean"), F.var_pop("v").alias("var")).collect()
+    rows = _parts(long, fold)
     width = max((r["i"] for r in rows), default=-1) + 1
     names = names or [f"feature_{i:03d}" for i in range(width)]
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))
@@ -150,9 +140,16 @@ def fit_folds(folded: DataFrame, k: int, fold: str = "fold", x: str = "x", names
     return [_outside_fold(f, rows, med, names, fold, indicator_threshold, missing_threshold, var_threshold) for f in range(k)]
 
 
+def _parts(long: DataFrame, fold: str) -> list:
+    """Count, missing values, mean and variance by (fold, feature): bounded by folds x features."""
+    return long.groupBy(fold, "i").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("miss"),
+                                       F.avg("v").alias("mean"), F.var_pop("v").alias("var")).collect()
+
+
 def _outside_fold(f: int, rows, med: dict, names: list[str], fold: str, indicator_threshold: float, missing_threshold: float,
                   var_threshold: float) -> PrepModel:
-    """The state of ``fit`` from the parts (count, missing, mean, variance) of all folds but ``f``."""
+    """FIT-01 to FIT-05 from the parts (count, missing, mean, variance) of all folds but ``f`` and the medians by
+    (fold, feature): imputation adds a block of ``miss`` equal values, which pooling needs no pass over the rows for."""
     parts: dict[int, list] = {}
     for r in rows:
         if r[fold] != f:

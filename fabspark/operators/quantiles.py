@@ -50,6 +50,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
              .distinct())
     br = ranks.select(*keys, "rank", "lo", "hi", F.lit(0).cast("long").alias("below"),
                       F.col("n").alias("cnt")).cache()
+    first = br
     done = (F.col("cnt") <= max_collect) | (F.col("lo") == F.col("hi"))
     # lo falls into the first bucket and hi into the last, so every pass narrows each open
     # bracket. Brackets over many magnitudes are cut on a signed log scale, others evenly:
@@ -89,6 +90,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     out = (want.select(*keys, "p", "h", F.floor("h").cast("long").alias("r0"), F.ceil("h").cast("long").alias("r1"))
            .join(lo_, keys + ["r0"]).join(hi_, keys + ["r1"])
            .select(*keys, "p", (F.col("v0") + (F.col("h") - F.col("r0")) * (F.col("v1") - F.col("v0"))).alias("q")))
+    out = cut_lineage(out)               # one row a group and probability: the held values can go
+    x.unpersist()
+    first.unpersist()
     return out
 
 
