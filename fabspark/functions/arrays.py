@@ -17,14 +17,21 @@ def count_where(arr: Column | str, pred) -> Column:
     return F.size(F.filter(_c(arr), pred))
 
 
-def resize_nearest(cells: Column | str, rows: Column | str, cols: Column | str, size: int) -> Column:
+def resize_nearest(cells: Column | str, rows: Column | str, cols: Column | str, size: int, via: Column | None = None) -> Column:
     """Nearest-neighbour resize to ``size x size``: source index
-    ``min(floor(i * h / size), h - 1)`` per axis (flat row-major result)."""
+    ``min(floor(i * h / size), h - 1)`` per axis (flat row-major result). With ``via`` (a column; null: none) the map is
+    first brought to ``via x via``: the indices of both steps are put together, no map in between is built."""
     cells, rows, cols = _c(cells), _c(rows), _c(cols)
 
+    def source(i, length):
+        if via is None:
+            return F.least(F.floor(i * length / size), length - 1)
+        grid = F.coalesce(via, F.lit(size)).cast("long")
+        step = F.least(F.floor(i * grid / size), grid - 1)
+        return F.least(F.floor(step * length / grid), length - 1)
+
     def pick(k):
-        ri = F.least(F.floor(F.floor(k / size) * rows / size), rows - 1)
-        ci = F.least(F.floor((k % size) * cols / size), cols - 1)
+        ri, ci = source(F.floor(k / size), rows), source(k % size, cols)
         return F.get(cells, (ri * cols + ci).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pick)
 

@@ -51,18 +51,29 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     # groups of at most target_rows rows: one window partition per group (bounded)
     big_keys = df.sparkSession.createDataFrame([tuple(r[g] for g in group_cols) for r in big],
                                                counts.select(*group_cols).schema) if big else None
-    small = df.join(F.broadcast(big_keys), group_cols, "left_anti") if big else df
+    small = _join(df, F.broadcast(big_keys), group_cols, "left_anti") if big else df
     out = _single_range(small, order_col, sum_cols, group_cols, descending, next_cols, tie_cols)
     for r in big:        # each oversized group: exact ranges of its own (at most MAX_BIG_GROUPS)
         cond = None
         for g in group_cols:
-            c = F.col(g) == F.lit(r[g])
+            c = F.col(g).eqNullSafe(F.lit(r[g]))
             cond = c if cond is None else cond & c
         part = _ranged(df.filter(cond), order_col, sum_cols, r["_n"], descending, target_rows, next_cols, tie_cols)
         out = out.unionByName(part)
     return out
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls are equal, with the columns of ``left`` and the others of ``right``."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    out = left.join(named, cond, how)
+    return out if how == "left_anti" else out.drop(*[f"_r_{k}" for k in keys])
+
+
 def _ordering(order_col, descending, tie_cols):
     o = F.col(order_col)
     return [o.desc() if descending else o.asc()] + [F.col(c).asc() for c in tie_cols]
@@ -86,12 +97,12 @@ def _ranged(df, order_col, sum_cols, n, descending, target_rows, next_cols, tie_
         return _single_range(df, order_col, sum_cols, [], descending, next_cols, tie_cols)
     from pyspark.ml.feature import Bucketizer
     probs = [i / nb for i in range(1, nb)]
-    cuts = sorted(set(float(v) for v in df.agg(F.percentile_approx(order_col, probs, 10_000)).first()[0]))
+    cuts = sorted(set(float(v) for v in df.agg(F.percentile_approx(order_col, probs, 10_000)).first()[0] or []))
     splits = [-float("inf")] + cuts + [float("inf")]
     # Bucketizer puts v in [s_i, s_i+1): bucket of v = number of cuts <= v
     d = Bucketizer(splits=splits, inputCol="_ov", outputCol="_rbd", handleInvalid="keep").transform(
         df.withColumn("_ov", F.col(order_col).cast("double")))
-    d = d.withColumn("_rb", F.col("_rbd").cast("int")).drop("_ov", "_rbd")
+    d = d.withColumn("_rb", F.when(F.col(order_col).isNull(), 0).otherwise(F.col("_rbd")).cast("int")).drop("_ov", "_rbd")
     return _stitch(d, order_col, sum_cols, [], descending, len(splits) - 1, next_cols, tie_cols)
 
 
@@ -101,8 +112,9 @@ def _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows
     probs = [i / nb for i in range(1, nb)]
     cuts = df.groupBy(*group_cols).agg(F.percentile_approx(order_col, probs, 10_000).alias("_cuts"))
     o = F.col(order_col)
-    d = (df.join(cuts, group_cols)
-         .withColumn("_rb", F.size(F.filter(F.col("_cuts"), lambda c: c <= o))).drop("_cuts"))
+    # a null value sorts before all others, so it lies in the lowest range; a group of nulls has no cuts
+    below = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= o)
+    d = _join(df, cuts, group_cols).withColumn("_rb", F.coalesce(F.size(below), F.lit(0))).drop("_cuts")
     return _stitch(d, order_col, sum_cols, group_cols, descending, nb, next_cols, tie_cols)
 
 
@@ -120,7 +132,7 @@ def _stitch(d, order_col, sum_cols, group_cols, descending, nb, next_cols, tie_c
                       *[F.coalesce(F.sum(f"_t_{c}").over(wr.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                         .alias(f"_o_{c}") for c in sum_cols],
                       F.lead("_first").over(wr).alias("_next_first"))
-    d = d.join(offs, group_cols + ["_rb"])
+    d = _join(d, offs, group_cols + ["_rb"])
     wl = Window.partitionBy(*group_cols, "_rb").orderBy(*_ordering(order_col, descending, tie_cols))
     out = d
     for c in sum_cols:

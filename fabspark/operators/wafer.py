@@ -55,9 +55,11 @@ def dims(wafers: DataFrame) -> DataFrame:
             .select("wafer_id", "rows", "cols"))
 
 
-def resized(wafers: DataFrame, size: int) -> DataFrame:
-    """PRJ-06 + PRJ-07: nearest-neighbour resize then scale to [0, 1] floats."""
-    return wafers.withColumn("x", normalize_cells(resize_nearest("cells", "rows", "cols", size)))
+def resized(wafers: DataFrame, size: int, via: str | None = None) -> DataFrame:
+    """PRJ-06 + PRJ-07: nearest-neighbour resize then scale to [0, 1] floats. ``via``: a column with a size that the
+    map is brought to before (null: none)."""
+    between = None if via is None else F.col(via)
+    return wafers.withColumn("x", normalize_cells(resize_nearest("cells", "rows", "cols", size, between)))
 
 
 def augment(wafers: DataFrame, size: int, all_variants: bool = False, seed: int = 42) -> DataFrame:

@@ -254,9 +254,23 @@ def _trn12(spark, sf):
 def _rte06(spark, sf):
     model, classes, _ = _wafer_training(spark, sf)
     maps = S.wafer_rows(S.route(FX.requests(spark, sf).unionByName(FX.wafer_requests(spark, sf))))
-    x = W.resized(maps.where("error IS NULL"), MAP_SIZE)
+    x = W.resized(maps.where("error IS NULL"), MAP_SIZE, "img_size")
     scored = TR.classify_wafers(model, x, classes).select("request_id", "map_idx", "pattern", "confidence",
                                                           F.lit(None).cast("string").alias("error"))
     bad = maps.where("error IS NOT NULL").select("request_id", "map_idx", F.lit(None).cast("string").alias("pattern"),
                                                  F.lit(None).cast("double").alias("confidence"), "error")
     return scored.unionByName(bad)
+
+
+@register("rte_04_route_and_predict")
+def _rte04_all(spark, sf):
+    """All requests of F8, all sensor rows and all maps, each with the results of its branch."""
+    from .route_queries import _bundle_params
+    train, _ = _split(spark, sf)
+    sensor = TR.fit_sensor_model(train, "logreg", "class_weight")
+    wafer, classes, _ = _wafer_training(spark, sf)
+    requests = FX.requests(spark, sf).unionByName(FX.sensor_requests(spark, sf)).unionByName(FX.wafer_requests(spark, sf).select(
+        (F.col("request_id") - 1_000_000_000).alias("request_id"), "payload"))
+    branches = {"yield_curve": S.yield_branch(_bundle_params(spark, sf)), "secom": S.sensor_branch(sensor),
+                "wafer_cnn": S.wafer_branch(lambda maps: TR.classify_wafers(wafer, maps, classes), MAP_SIZE)}
+    return S.answer(S.route(requests), branches)

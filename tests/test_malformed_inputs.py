@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabspark import session
-from fabspark.operators import quantiles, score, smote, wafer
+from fabspark.operators import cumulative, quantiles, score, smote, wafer
 from fabspark.sources import sensor_text
 
 
@@ -98,3 +98,75 @@ def test_wafer_requests_that_are_no_grid_get_error_rows(spark):
     got = {(r["request_id"], r["map_idx"]): (r["cells"], r["img_size"]) for r in rows if r["error"] is None}
     assert got == {(0, 0): ([0, 1, 2, 1], 8), (3, 0): ([1], None)}
     assert {(r["request_id"], r["map_idx"]) for r in rows if r["error"]} == {(1, 0), (2, None), (3, 1)}
+
+
+def test_sensor_requests_never_vanish(spark):
+    payloads = ['{"rows":[{"a":1,"b":2,"c":"x"}]}', '{"rows":[{"a":1,"b":2,"c":"3.5"}]}', '{"features":"abc"}', '{"rows":[]}', '{"features":[1,2,null]}',
+                '{"features":[[1,2,3],[4,"y",6]]}', '{"rows":"{"}', "{}"]
+    routed = spark.createDataFrame(list(enumerate(payloads)), "request_id long, payload string").withColumn("domain", F.lit("secom"))
+    got = {}
+    for r in score.sensor_rows(routed, 3, trained=["a", "b", "c"]).collect():
+        got.setdefault(r["request_id"], []).append((r["x"], r["error"]))
+    assert sorted(got) == list(range(len(payloads)))
+    assert got[0][0][1] == "feature values must be numbers" and got[1] == [([1.0, 2.0, 3.5], None)]
+    assert got[4] == [([1.0, 2.0, None], None)]
+    assert [e for _, e in got[5]] == [None, "feature values must be numbers"]
+    assert all(got[i][0][1] for i in (2, 3, 6, 7))
+
+
+def test_wafer_requests_never_abort(spark):
+    payloads = ['{"wafer_map":[[0,1],[1,2]],"img_size":"abc"}', '{"wafer_map":[[0,300],[1,2]]}', '{"wafer_map":[[0,1],[1,2]],"img_size":3}',
+                '{"wafer_map":[[0,1],[1,2]]}', '{"wafer_map":[[0,1],[1,2]],"img_size":-4}', '{"wafer_maps":[]}']
+    routed = spark.createDataFrame(list(enumerate(payloads)), "request_id long, payload string").withColumn("domain", F.lit("wafer_cnn"))
+    rows = {r["request_id"]: r for r in score.wafer_rows(routed).collect()}
+    assert sorted(rows) == list(range(len(payloads)))
+    assert {i for i, r in rows.items() if r["error"]} == {0, 1, 4, 5} and rows[2]["img_size"] == 3 and rows[3]["img_size"] is None
+
+
+def test_resize_by_way_of_a_size_in_a_column(spark):
+    rng = np.random.default_rng(0)
+    maps = [(i, r, c, v, [int(x) for x in rng.integers(0, 3, r * c)]) for i, (r, c, v) in enumerate([(5, 7, 3), (6, 4, 9), (8, 8, None), (3, 3, 1)])]
+    df = spark.createDataFrame(maps, "wafer_id long, rows int, cols int, img_size int, cells array<tinyint>")
+    got = {r["wafer_id"]: r["x"] for r in wafer.resized(df, 4, "img_size").collect()}
+
+    def near(grid, size):
+        h, w = grid.shape
+        return np.array([[grid[min(i * h // size, h - 1), min(j * w // size, w - 1)] for j in range(size)] for i in range(size)])
+    for i, r, c, v, cells in maps:
+        grid = np.array(cells).reshape(r, c)
+        want = near(near(grid, v) if v else grid, 4)
+        assert got[i] == (want / 2).ravel().tolist()
+
+
+def test_answers_of_all_branches(spark):
+    payloads = ['{"area":[4,1]}', '{"features":[1,2]}', '{"features":[[1,2],[3,4]]}', '{"wafer_map":[[0,1],[1,2]]}', "{}", "not json", '{"features":[1]}']
+    requests = spark.createDataFrame(list(enumerate(payloads)), "request_id long, payload string")
+    params = spark.createDataFrame([("poisson", 0.05, None, True)], "model string, d0 double, alpha double, is_best boolean")
+
+    class Model:
+        class prep:
+            names_in = ["a", "b"]
+
+        @staticmethod
+        def predict_frame(df):
+            return df.withColumns({"fail_proba": F.get("x", 0) / 10, "decision": F.get("x", 0) > 2, "label": F.lit("pass")})
+    branches = {"yield_curve": score.yield_branch(params), "secom": score.sensor_branch(Model),
+                "wafer_cnn": score.wafer_branch(lambda m: m.withColumns({"pattern": F.lit("none"), "confidence": F.get("x", 3).cast("double")}), 2)}
+    got = {r["request_id"]: r for r in score.answer(score.route(requests), branches).collect()}
+    assert sorted(got) == list(range(len(payloads)))
+    for i, r in got.items():
+        assert r["results"] and all((x["result"] is None) != (x["error"] is None) for x in r["results"]), i
+    assert ['"area":4.0' in got[0]["results"][0]["result"], '"area":1.0' in got[0]["results"][1]["result"]] == [True, True]
+    assert ['"fail_proba":0.1' in got[2]["results"][0]["result"], '"fail_proba":0.3' in got[2]["results"][1]["result"]] == [True, True]
+    assert '"confidence":1.0' in got[3]["results"][0]["result"]
+    assert got[4]["results"][0]["error"] and got[5]["results"][0]["error"] and got[6]["results"][0]["error"].startswith("expected 2")
+
+
+@pytest.mark.parametrize("limit", [256, 0])
+def test_running_sums_keep_groups_without_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(cumulative, "MAX_BIG_GROUPS", limit)
+    rows = [(None if i % 3 == 0 else i % 3, float((i * 7) % 31), 1) for i in range(120)] + [(5, None, 1), (5, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g int, v double, n int")
+    got = cumulative.running_sums(df, "v", ["n"], ["g"], descending=False, target_rows=10, tie_cols=["n"])
+    per = {r["g"]: (r["rows"], r["top"]) for r in got.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.max("cum_n").alias("top")).collect()}
+    assert per == {None: (40, 40), 1: (40, 40), 2: (40, 40), 5: (2, 2)}
