@@ -17,7 +17,7 @@ from ..operators import split as SP
 from ..operators import train as TR
 from ..operators import trees as T
 from ..operators import wafer as W
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sinks import model_store as MS
 from ..sources import fixtures as FX
 from . import sensor_plan as SPL
@@ -273,4 +273,4 @@ def _rte04_all(spark, sf):
         (F.col("request_id") - 1_000_000_000).alias("request_id"), "payload"))
     branches = {"yield_curve": S.yield_branch(_bundle_params(spark, sf)), "secom": S.sensor_branch(sensor),
                 "wafer_cnn": S.wafer_branch(lambda maps: TR.classify_wafers(wafer, maps, classes), MAP_SIZE)}
-    return S.answer(S.route(requests), branches)
+    return S.answer(cut_lineage(S.route(requests)), branches)      # every branch reads the routed rows
