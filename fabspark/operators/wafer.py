@@ -244,8 +244,7 @@ def yield_curve(wafers: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES, stride
 def require_points(curve: DataFrame) -> DataFrame:
     """FLT-06 error path: raise when no area point survived (the curve is tiny)."""
     if curve.limit(1).count() == 0:
-        raise ValueError("No area points survived min_windows_per_area; "
-                         "lower the threshold or use more wafers.")
+        raise ValueError("the curve is empty: every window size has fewer valid windows than the limit asks for")
     return curve
 
 

@@ -129,7 +129,7 @@ def lm_fit(name: str, area: np.ndarray, y: np.ndarray, sigma: np.ndarray,
     c, r = cost(phi)
     lam = 1e-3
     if not np.isfinite(c):
-        return np.full(len(p0), np.nan), None, False, "fit failed: non-finite initial cost"
+        return np.full(len(p0), np.nan), None, False, "not fitted: the first cost is not finite"
     for _ in range(max_iter):
         th = np.exp(phi)
         J = _jac_np(name, area, th) * th[None, :] / sigma[:, None]
@@ -159,7 +159,7 @@ def lm_fit(name: str, area: np.ndarray, y: np.ndarray, sigma: np.ndarray,
     except np.linalg.LinAlgError:
         cov = None
     if not np.all(np.isfinite(th)):
-        return np.full(len(p0), np.nan), None, False, "fit failed: non-finite parameters"
+        return np.full(len(p0), np.nan), None, False, "not fitted: the parameters are not finite"
     return th, cov, True, "converged"
 
 
@@ -192,7 +192,7 @@ def fit_lm(curve: DataFrame, group_cols=(), models=None, d0_init: float = YM.D0_
             try:
                 th, cov, ok, msg = lm_fit(name, area, y, sigma, p0, m.bounds)
             except Exception as exc:  # noqa: BLE001 — report, don't crash the job
-                th, cov, ok, msg = np.full(m.n_params, np.nan), None, False, f"fit failed: {exc}"
+                th, cov, ok, msg = np.full(m.n_params, np.nan), None, False, f"not fitted: {exc}"
             row = {g: pdf[g].iloc[0] for g in group_cols}
             row.update(model=name, d0=float(th[0]) if ok else None,
                        alpha=(float(th[1]) if ok else None) if m.n_params == 2 else None,

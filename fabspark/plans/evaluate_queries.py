@@ -210,9 +210,9 @@ _PRED = ("pred", """
   FROM (SELECT *, max(p) OVER (PARTITION BY id) AS mp FROM mc_prob) GROUP BY id, y""")
 
 
-@register("prj_13_decode", rsql(with_ctes(["mc_prob"], """
+@register("prj_13_decode", rsql(with_ctes(["mc_prob"], f"""
   SELECT id, CAST(pred AS INTEGER) AS pred,
-         CASE WHEN pred < 8 THEN (['Center','Donut','Edge-Loc','Edge-Ring','Loc','Near-full','Random','Scratch'])[pred + 1]
+         CASE WHEN pred < 8 THEN ({CLASS_NAMES})[pred + 1]
               ELSE 'class_' || CAST(pred AS VARCHAR) END AS label,
          round_even(confidence, 4) AS confidence FROM pred""", [_PRED]), ["confidence"]))
 def _prj13(spark, sf):

@@ -6,6 +6,8 @@ correctness check; the Spark side never uses them.
 """
 from __future__ import annotations
 
+from ..sources.fixtures import PATTERN_NAMES
+
 H = "CAST(('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8)) AS BIGINT)"
 
 
@@ -98,7 +100,7 @@ _add("labels6", f"""
               WHEN c_custkey % 11 = 1 THEN 'Unlabeled'
               WHEN c_custkey % 11 = 2 THEN 'Unlabeled'
               ELSE CASE WHEN {h("c_custkey")} % 12 < 8
-                        THEN (['Center','Donut','Edge-Loc','Edge-Ring','Loc','Near-full','Random','Scratch'])
+                        THEN ({PATTERN_NAMES})
                              [CAST({h("c_custkey")} % 12 AS INTEGER) + 1]
                         ELSE 'none' END END AS label
   FROM customer""")
