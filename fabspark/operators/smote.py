@@ -1,34 +1,23 @@
 """k-nearest-neighbour based resampling: SMOTE, borderline SMOTE, ADASYN,
 SMOTE + edited nearest neighbours, SMOTE + Tomek links.
 
-Exact k-NN without a cross join: query and reference rows are hashed into
-blocks of about ``block_rows`` rows; every (query block, reference block)
-pair is one ``cogroup(...).applyInPandas`` call that computes the distances
-with numpy and returns only each query row's k nearest candidates; a final
-top-k per query row (at most k x blocks rows each) merges the blocks. Work is
-O(n_query x n_ref) distance evaluations — exact k-NN has no cheaper general
-form — but memory per task is bounded by two blocks and only k rows per
-query row are ever emitted.
+The neighbours come from ``knn`` (exact, over pivot cells).
 
 Synthetic rows use hash-seeded draws (``spark.range`` + md5) and equi-joins:
 sample = x_seed + u * (x_neighbour - x_seed).
 """
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import h60
+from ..session import cut_lineage
+from .knn import knn
 from .split import SEED, class_counts, seeded_rank
 from .resample import minority_majority
 
-BLOCK_ROWS = 4096
 QUOTA_PIECE = 1000            # draws exploded from one row at once
 U_BITS = 2 ** 20
 
@@ -37,70 +26,6 @@ def _draw(j, seed: int, tag: str):
     return h60(F.concat(j.cast("string"), F.lit(f":{tag}:{seed}")))
 
 
-def _topk_block(k: int, exclude_self: bool):
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "nid", "dist", "nlabel"]
-        if q.empty or r.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in
-                                 zip(cols, ["int64", "int64", "float64", "int64"])})
-        Q = np.stack(q["qx"].to_numpy()).astype(float)
-        R = np.stack(r["rx"].to_numpy()).astype(float)
-        qid = q["qid"].to_numpy()
-        rid = r["rid"].to_numpy()
-        rlab = r["rlabel"].to_numpy()
-        chunk = max(1, (1 << 22) // max(1, R.shape[0] * max(1, R.shape[1])))
-        out = []
-        for s in range(0, Q.shape[0], chunk):
-            d = ((Q[s:s + chunk, None, :] - R[None, :, :]) ** 2).sum(axis=2)
-            if exclude_self:
-                d = np.where(qid[s:s + chunk, None] == rid[None, :], np.inf, d)
-            kk = min(k, R.shape[0])
-            # candidate set: the kk smallest, ties at the boundary settled by id below
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < R.shape[0] else \
-                np.tile(np.arange(R.shape[0]), (d.shape[0], 1))
-            rows = np.repeat(np.arange(d.shape[0]), part.shape[1])
-            cand = part.ravel()
-            dist = d[rows, cand]
-            # keep every reference at the k-th distance too, so id tie-breaks stay exact
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1] if kk < R.shape[0] else np.full(d.shape[0], np.inf)
-            extra_r, extra_c = np.nonzero((d == kth[:, None]) & np.isfinite(d))
-            rows = np.concatenate([rows, extra_r])
-            cand = np.concatenate([cand, extra_c])
-            dist = np.concatenate([dist, d[extra_r, extra_c]])
-            keep = np.isfinite(dist)
-            out.append(pd.DataFrame({"qid": qid[s:s + chunk][rows[keep]], "nid": rid[cand[keep]],
-                                     "dist": dist[keep], "nlabel": rlab[cand[keep]]}).drop_duplicates(["qid", "nid"]))
-        return pd.concat(out, ignore_index=True)
-    return fn
-
-
-def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: str = "x", y: str = "y",
-        exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(qid, slot, nid, dist, nlabel)``: the k nearest reference rows of every
-    query row by Euclidean distance (ties by neighbour id), slot 0..k-1."""
-    nq = query.count()
-    nr = nq if ref is query else ref.count()
-    bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
-    hq = F.pmod(h60(F.col(id_col)), F.lit(bq))
-    hr = F.pmod(h60(F.col(id_col)), F.lit(br))
-    q = (query.select(F.col(id_col).alias("qid"), F.col(x).alias("qx"), hq.alias("qb"))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-         .withColumn("pair", F.col("qb") * br + F.col("rb")).drop("qb", "rb"))
-    r = (ref.select(F.col(id_col).alias("rid"), F.col(x).alias("rx"), F.col(y).cast("long").alias("rlabel"),
-                    hr.alias("rb"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-         .withColumn("pair", F.col("qb") * br + F.col("rb")).drop("qb", "rb"))
-    id_type = query.schema[id_col].dataType
-    schema = T.StructType([T.StructField("qid", id_type), T.StructField("nid", id_type),
-                           T.StructField("dist", T.DoubleType()), T.StructField("nlabel", T.LongType())])
-    cand = (q.groupBy("pair").cogroup(r.groupBy("pair"))
-            .applyInPandas(lambda a, b: _topk_block(k, exclude_self)(a.drop(columns=["pair"]),
-                                                                     b.drop(columns=["pair"])), schema))
-    w = Window.partitionBy("qid").orderBy("dist", "nid")      # <= k x blocks rows per query row
-    return (cand.withColumn("slot", F.row_number().over(w) - 1).filter(F.col("slot") < k)
-            .select("qid", F.col("slot").cast("int").alias("slot"), "nid", "dist", "nlabel"))
-
-
 def _synthesise(seeds: DataFrame, minority: DataFrame, nn: DataFrame, n_draw: int, k: int, id_col: str,
                 x: str, y, seed: int, label) -> DataFrame:
     """Draw ``n_draw`` (seed, neighbour slot, step) triples; ``seeds`` carry a
@@ -228,17 +153,11 @@ def tomek_filter(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str =
     return df.join(links, id_col, "left_anti")
 
 
-def _materialised(df: DataFrame) -> DataFrame:
-    """The SMOTE output feeds the cleaning step three times (counts, k-NN
-    query and reference, final anti join): compute it once."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def smote_enn(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-08 (a non-default sampling ratio is not passed on, as in the reference)."""
-    return enn_filter(_materialised(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
+    return enn_filter(cut_lineage(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
 
 
 def smote_tomek(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-09."""
-    return tomek_filter(_materialised(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
+    return tomek_filter(cut_lineage(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
