@@ -4,16 +4,14 @@
 curves over distinct scores that is fine at 100 rows and fatal at 10^9.
 ``running_sums``:
 
-* groups of at most ``target_rows`` rows: one window partition per group
-  (bounded by construction);
-* a sequence longer than that (no grouping, or one of the few oversized
-  groups — at most n / target_rows of them): approximate-quantile cut points
-  split it into ranges of ~``target_rows`` rows; rows find their range by
-  binary search (``Bucketizer``, JVM); per-range totals (one row per range)
-  become exclusive prefix offsets; the running sum runs inside each range
-  (window partitioned by range) and adds its offset;
-* pathological inputs with very many oversized groups use per-group cut
-  arrays instead (``_ranged_grouped``).
+* where no group holds more than ``target_rows`` rows: one window partition per group (bounded by construction);
+* a longer sequence without groups: approximate-quantile cut points split it into ranges of ~``target_rows``
+  rows; rows find their range by binary search (``Bucketizer``, JVM);
+* with groups, each one above ``target_rows`` gets cut points of its own, all from one aggregation; the others
+  stay one range. The number of jobs does not depend on the number of groups.
+
+Per-range totals (one row per range) become exclusive prefix offsets; the running sum runs inside each range
+(window partitioned by range) and adds its offset. Rows with a null group key are a group like any other.
 
 ``next_cols`` also returns the value of the following row in the same order
 (``lead``), stitched across range boundaries through the small range table.
@@ -32,7 +30,7 @@ TARGET_ROWS = 2_000_000
 
 
 MAX_RANGES = 50_000          # cut points kept on the driver (one double each)
-MAX_BIG_GROUPS = 256         # groups handled one by one through the range path
+CUTS_BROADCAST = 64 << 20    # bytes of cut points that are sent to every task; beyond, Spark chooses the join
 
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=(), descending: bool = True,
@@ -44,23 +42,11 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     if not group_cols:
         return _ranged(df, order_col, sum_cols, df.count(), descending, target_rows, next_cols, tie_cols)
     counts = df.groupBy(*group_cols).agg(F.count("*").alias("_n"))
-    big = counts.filter(F.col("_n") > target_rows).limit(MAX_BIG_GROUPS + 1).collect()
-    if len(big) > MAX_BIG_GROUPS:
-        return _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols,
-                               counts.agg(F.max("_n")).first()[0])
-    # groups of at most target_rows rows: one window partition per group (bounded)
-    big_keys = df.sparkSession.createDataFrame([tuple(r[g] for g in group_cols) for r in big],
-                                               counts.select(*group_cols).schema) if big else None
-    small = _join(df, F.broadcast(big_keys), group_cols, "left_anti") if big else df
-    out = _single_range(small, order_col, sum_cols, group_cols, descending, next_cols, tie_cols)
-    for r in big:        # each oversized group: exact ranges of its own (at most MAX_BIG_GROUPS)
-        cond = None
-        for g in group_cols:
-            c = F.col(g).eqNullSafe(F.lit(r[g]))
-            cond = c if cond is None else cond & c
-        part = _ranged(df.filter(cond), order_col, sum_cols, r["_n"], descending, target_rows, next_cols, tie_cols)
-        out = out.unionByName(part)
-    return out
+    n_big, n_max = counts.agg(F.count_if(F.col("_n") > target_rows), F.max("_n")).first()
+    if not n_big:
+        return _single_range(df, order_col, sum_cols, group_cols, descending, next_cols, tie_cols)
+    big = counts.filter(F.col("_n") > target_rows)
+    return _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols, big, n_big, n_max)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -71,7 +57,7 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     for c in on[1:]:
         cond = cond & c
     out = left.join(named, cond, how)
-    return out if how == "left_anti" else out.drop(*[f"_r_{k}" for k in keys])
+    return out if how == "left_semi" else out.drop(*[f"_r_{k}" for k in keys])
 
 
 def _ordering(order_col, descending, tie_cols):
@@ -106,15 +92,18 @@ def _ranged(df, order_col, sum_cols, n, descending, target_rows, next_cols, tie_
     return _stitch(d, order_col, sum_cols, [], descending, len(splits) - 1, next_cols, tie_cols)
 
 
-def _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols, n_max):
-    """Many oversized groups: per-group cut arrays, range = count of cuts <= v."""
+def _ranged_grouped(df, order_col, sum_cols, group_cols, descending, target_rows, next_cols, tie_cols, big, n_big, n_max):
+    """Cut arrays of the groups in ``big``, range = count of cuts <= v; the other groups are one range each."""
     nb = max(1, min(MAX_RANGES, math.ceil(n_max / target_rows)))
     probs = [i / nb for i in range(1, nb)]
-    cuts = df.groupBy(*group_cols).agg(F.percentile_approx(order_col, probs, 10_000).alias("_cuts"))
+    cuts = (_join(df, big.select(*group_cols), group_cols, "left_semi").groupBy(*group_cols)
+            .agg(F.percentile_approx(order_col, probs, 10_000).alias("_cuts")))
+    if n_big * nb * 8 <= CUTS_BROADCAST:
+        cuts = F.broadcast(cuts)
     o = F.col(order_col)
     # a null value sorts before all others, so it lies in the lowest range; a group of nulls has no cuts
     below = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= o)
-    d = _join(df, cuts, group_cols).withColumn("_rb", F.coalesce(F.size(below), F.lit(0))).drop("_cuts")
+    d = _join(df, cuts, group_cols, "left").withColumn("_rb", F.coalesce(F.size(below), F.lit(0))).drop("_cuts")
     return _stitch(d, order_col, sum_cols, group_cols, descending, nb, next_cols, tie_cols)
 
 

@@ -8,7 +8,7 @@ Fixed step order (as the reference's pipeline):
 3. median imputation (exact medians, ``quantiles``)
 4. drop columns with population variance <= ``var_threshold``
 5. standard scaling with population std (zero std -> 1)
-6. optional SelectKBest by ANOVA F (or binned mutual information)
+6. optional SelectKBest by ANOVA F or neighbour-based mutual information
 
 ``fit`` runs a few grouped aggregations over the long form of the TRAINING
 rows and keeps only per-feature state (index arrays and statistics — size =
@@ -112,12 +112,12 @@ def fit(train: DataFrame, x: str = "x", y: str = "y", names: list[str] | None =
     m = _outside_fold(0, _parts(long, "fold"), med, names, "fold", indicator_threshold, missing_threshold, var_threshold)
     keep2 = m.keep_var
     if k_features is not None and k_features < len(keep2):                                     # FIT-06
-        scored = train.select(F.col(y), m.scaled(F.col(x)).alias("_f"))
-        sc = anova_f(scored, "_f", y) if score == "f" else None
-        if sc is None:
-            from .profile import mutual_information
-            sc = mutual_information(scored.select(F.lit(0).alias("unit_id"), y, F.col("_f").alias("x")), y) \
-                .select("i", F.col("mutual_info").alias("score"))
+        if score == "f":
+            sc = anova_f(train.select(F.col(y), m.scaled(F.col(x)).alias("_f")), "_f", y)
+        elif score == "mutual_info":
+            sc = mutual_info_scores(m, train, x, y)
+        else:
+            raise ValueError(f"score must be f or mutual_info, not {score!r}")
         s = _collect_map(sc, "i", "score")
         order = sorted(range(len(keep2)), key=lambda j: (-(s.get(j) if s.get(j) is not None else float("-inf")), -j))
         m.selected = sorted(order[:k_features])
@@ -125,6 +125,14 @@ def fit(train: DataFrame, x: str = "x", y: str = "y", names: list[str] | None =
     return m
 
 
+def mutual_info_scores(m: PrepModel, train: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """``(i, score)``: neighbour-based mutual information of each column that reaches the selection. It does not
+    depend on the scale, so the imputed values are taken as they are."""
+    from .mutual_info import neighbour_mutual_information
+    kept = train.select(F.col(y), m._gather(F.col(x), m.keep_var).alias("_f"))
+    return neighbour_mutual_information(kept, "_f", y).withColumnRenamed("mutual_info", "score")
+
+
 def fit_folds(folded: DataFrame, k: int, fold: str = "fold", x: str = "x", names: list[str] | None = None,
               indicator_threshold: float = INDICATOR_THRESHOLD, missing_threshold: float = MISSING_THRESHOLD,
               var_threshold: float = VAR_THRESHOLD) -> list[PrepModel]:

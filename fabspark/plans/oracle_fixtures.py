@@ -143,3 +143,26 @@ def with_ctes(names: list[str], select: str, extra: list[tuple[str, str]] | None
     parts = [f"{n} AS ({CTE[n]})" for n in _order(names)]
     parts += [f"{n} AS ({body})" for n, body in (extra or [])]
     return ("WITH " + ",\n".join(parts) + "\n" + select) if parts else select
+
+
+def neighbour_mi_sql(src: str, row: str, k: int = 3) -> list[tuple[str, str]]:
+    """CTEs up to ``mi`` (i, mutual_info) by comparing all pairs of rows of ``src`` (i, y, v; key ``row``), with
+    psi from harmonic sums: an independent form of ``operators.mutual_info``."""
+    return [
+        ("psi", """SELECT range AS n, -0.5772156649015329 + sum(CASE WHEN range > 1 THEN 1.0 / (range - 1) ELSE 0.0 END)
+                   OVER (ORDER BY range) AS p FROM range(1, (SELECT count(*) + 2 FROM units))"""),
+        ("mi_rows", f"""SELECT * FROM (SELECT i, y, v, {row} AS r, count(*) OVER (PARTITION BY i, y) AS n_c FROM {src})
+                        WHERE n_c > 1"""),
+        ("mi_kth", f"""SELECT i, r, v, n_c, least({k}, n_c - 1) AS k_c, list_sort(nearest)[least({k}, n_c - 1)] AS near
+                       FROM (SELECT a.i, a.y, a.r, a.v, a.n_c, min({{'d': abs(b.v - a.v), 'x': b.v}}, {k}) AS nearest
+                             FROM mi_rows a JOIN mi_rows b ON a.i = b.i AND a.y = b.y AND a.r <> b.r
+                             GROUP BY a.i, a.y, a.r, a.v, a.n_c)"""),
+        ("mi_m", """SELECT a.i, a.r, a.n_c, a.k_c, count(*) AS m FROM mi_kth a JOIN mi_rows b ON a.i = b.i
+                    AND CASE WHEN a.near.d = 0 THEN b.v = a.v
+                             ELSE b.v < CASE WHEN a.near.x >= a.v THEN a.near.x ELSE a.v + a.near.d END
+                              AND b.v > CASE WHEN a.near.x <= a.v THEN a.near.x ELSE a.v - a.near.d END END
+                    GROUP BY a.i, a.r, a.n_c, a.k_c"""),
+        ("mi", """SELECT i, greatest(0.0, any_value(pn.p) + avg(pk.p) - avg(pc.p) - avg(pm.p)) AS mutual_info
+                  FROM (SELECT *, count(*) OVER (PARTITION BY i) AS n FROM mi_m) a
+                  JOIN psi pn ON pn.n = a.n JOIN psi pk ON pk.n = a.k_c JOIN psi pc ON pc.n = a.n_c JOIN psi pm ON pm.n = a.m
+                  GROUP BY i""")]

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import wafer as W
+from ..operators.mutual_info import neighbour_mutual_information
 from ..operators.quantiles import exact_quantiles
 from ..sources import fixtures as FX
 from .catalog import register
 from .common import round_doubles, rsql
-from .oracle_fixtures import with_ctes
+from .oracle_fixtures import neighbour_mi_sql, with_ctes
 
 
 def _sensors(spark, sf):
@@ -120,6 +121,15 @@ def _agg05(spark, sf):
     return round_doubles(P.mutual_information(_sensors(spark, sf)))
 
 
+@register("agg_05_mutual_info_neighbours", rsql(with_ctes(["units", "slong"], """
+  SELECT i, printf('feature_%03d', i) AS feature, mutual_info FROM mi""", [("med", _MED),
+    ("filled", "SELECT s.i, s.y, s.unit_id, coalesce(s.v, m.median) AS v FROM slong s JOIN med m USING (i)")]
+    + neighbour_mi_sql("filled", "unit_id")), ["mutual_info"]))
+def _agg05n(spark, sf):
+    mi = neighbour_mutual_information(_sensors(spark, sf))
+    return round_doubles(mi.select("i", P.feature_name(F.col("i")).alias("feature"), "mutual_info"))
+
+
 @register("dq_06_dataset_summary", rsql(with_ctes(["slong"], """
   SELECT (SELECT count(*) FROM units) AS n_samples, (SELECT CAST(max(i) + 1 AS INTEGER) FROM slong) AS n_features,
          (SELECT count(*) FROM units WHERE y = 0) AS n_pass, (SELECT count(*) FROM units WHERE y = 1) AS n_fail,

@@ -12,7 +12,7 @@ from ..operators import wafer as W
 from ..sources import fixtures as FX
 from .catalog import register
 from .common import round_doubles, rsql
-from .oracle_fixtures import h60, with_ctes
+from .oracle_fixtures import h60, neighbour_mi_sql, with_ctes
 
 
 # ------------------------------------------------------------ SQL helpers
@@ -189,6 +189,30 @@ def _fit07(spark, sf):
     return _names_df(spark, m.feature_names)
 
 
+_MI = [("kept", """SELECT x.unit_id, k.q AS i, s.y, x.v FROM x2 x JOIN keep2 k USING (p) JOIN split1 s USING (unit_id)
+                   WHERE s.split = 'train'""")] + neighbour_mi_sql("kept", "unit_id")
+
+
+@register("fit_06_mutual_info_scores", rsql(with_ctes(["units", "slong"], """
+  SELECT a.i AS pos, n.feature, a.mutual_info AS score FROM mi a JOIN keep2 k ON k.q = a.i JOIN names1 n USING (j)""",
+    _FIT + _MI), ["score"]))
+def _fit06_mi(spark, sf):
+    s, m = _prep(spark, sf)
+    names = _names_df(spark, m.feature_names).withColumnRenamed("pos", "i")
+    sc = PR.mutual_info_scores(m, s.filter(F.col("split") == "train"))
+    return round_doubles(sc.join(names, "i").select(F.col("i").cast("int").alias("pos"), "feature", "score"))
+
+
+@register("fit_07_selected_by_mutual_info", with_ctes(["units", "slong"], """
+  SELECT CAST(row_number() OVER (ORDER BY a.i) - 1 AS INTEGER) AS pos, n.feature
+  FROM (SELECT i FROM mi ORDER BY round(mutual_info, 12) DESC, i DESC LIMIT 10) a
+  JOIN keep2 k ON k.q = a.i JOIN names1 n USING (j)""", _FIT + _MI))
+def _fit07_mi(spark, sf):
+    s = SP.stratified_split(FX.sensors(spark, sf))
+    m = PR.fit(s.filter(F.col("split") == "train"), k_features=10, score="mutual_info")
+    return _names_df(spark, m.feature_names)
+
+
 # ------------------------------------------------------------- resampling
 def _units(spark, sf):
     return FX.sensors(spark, sf).select("unit_id", "y")
@@ -286,10 +310,13 @@ _KNN_ALL = """
     FROM {src} a JOIN {src} b ON a.unit_id <> b.unit_id) WHERE slot < {k}"""
 
 
+SMOTE_ENN = _SMOTE + [("sm", "SELECT unit_id, y, x FROM dense UNION ALL SELECT unit_id, y, x FROM syn"),
+                     ("nn3", _KNN_ALL.format(src="sm", k=3))]
+
+
 @register("res_08_smote_enn", rsql(with_ctes(["dense"], _checksum_sql(
     "(SELECT * FROM sm WHERE unit_id NOT IN (SELECT qid FROM nn3 WHERE nlabel <> qlabel))"),
-    _SMOTE + [("sm", "SELECT unit_id, y, x FROM dense UNION ALL SELECT unit_id, y, x FROM syn"),
-              ("nn3", _KNN_ALL.format(src="sm", k=3))]), ["checksum"]))
+    SMOTE_ENN), ["checksum"]))
 def _res08(spark, sf):
     return _checksum(SM.smote_enn(FX.dense_sensors(spark, sf)))
 
@@ -303,12 +330,55 @@ def _res09(spark, sf):
     return _checksum(SM.smote_tomek(FX.dense_sensors(spark, sf)))
 
 
-@register("res_06_borderline_smote")
+_PAIRS = """row_number() OVER (PARTITION BY a.unit_id ORDER BY list_sum(list_transform(list_zip(a.x, b.x),
+                              lambda t: (t[1] - t[2]) * (t[1] - t[2]))), b.unit_id) - 1 AS slot"""
+_N_NEW = "((SELECT count(*) FROM dense WHERE y = 0) - (SELECT count(*) FROM dense WHERE y = 1))"
+_WITH_SYN = "(SELECT unit_id, y, x FROM dense UNION ALL SELECT unit_id, y, x FROM syn)"
+
+
+def _near_all(m: int) -> str:
+    """The m nearest rows of the whole table of every minority row, as majority counts."""
+    return f"""SELECT qid, count(*) FILTER (WHERE nlabel <> 1) AS n_maj FROM (
+      SELECT a.unit_id AS qid, b.y AS nlabel, {_PAIRS} FROM dense a JOIN dense b ON a.y = 1 AND a.unit_id <> b.unit_id)
+      WHERE slot < {m} GROUP BY qid"""
+
+
+def _synthetic(seeds: str) -> str:
+    return f"""SELECT -(d.draw + 1) AS unit_id, 1 AS y, list_transform(list_zip(s.x, m.x), lambda t: t[1] + d.u * (t[2] - t[1])) AS x
+      FROM draws d JOIN {seeds} s USING (srank) JOIN nn ON nn.qid = s.unit_id AND nn.slot = d.slot
+      JOIN dense m ON m.unit_id = nn.nid"""
+
+
+_BORDER = [_KNN_MIN,
+           ("near10", _near_all(10)),
+           ("danger", "SELECT unit_id, x FROM dense JOIN near10 ON unit_id = qid WHERE n_maj >= 5 AND n_maj < 10"),
+           ("sr", f"SELECT unit_id, x, {_rank('unit_id', None)} AS srank FROM danger"),
+           ("draws", f"""
+             SELECT range AS draw, {h60("CAST(range AS VARCHAR) || ':s:42'")} % (SELECT count(*) FROM danger) + 1 AS srank,
+                    CAST({h60("CAST(range AS VARCHAR) || ':n:42'")} % 5 AS INTEGER) AS slot,
+                    CAST({h60("CAST(range AS VARCHAR) || ':u:42'")} % 1048576 AS DOUBLE) / 1048576 AS u
+             FROM range({_N_NEW})"""),
+           ("syn", _synthetic("sr"))]
+
+_ADASYN = [_KNN_MIN,
+           ("near5", _near_all(5)),
+           ("quota", f"""SELECT qid, CAST(round_even(n_maj / 5.0 / (SELECT sum(n_maj / 5.0) FROM near5) * {_N_NEW}, 0) AS BIGINT) AS n_i
+                         FROM near5"""),
+           ("sr", f"SELECT unit_id, x, {_rank('unit_id', None)} AS srank FROM dense WHERE y = 1"),
+           ("jobs", """SELECT srank, srank * ((SELECT max(n_i) FROM quota) + 1) + t AS draw
+                       FROM (SELECT sr.srank, unnest(range(1, q.n_i + 1)) AS t FROM quota q JOIN sr ON sr.unit_id = q.qid
+                             WHERE q.n_i > 0)"""),
+           ("draws", f"""SELECT draw, srank, CAST({h60("CAST(draw AS VARCHAR) || ':n:42'")} % 5 AS INTEGER) AS slot,
+                                CAST({h60("CAST(draw AS VARCHAR) || ':u:42'")} % 1048576 AS DOUBLE) / 1048576 AS u FROM jobs"""),
+           ("syn", _synthetic("sr"))]
+
+
+@register("res_06_borderline_smote", rsql(with_ctes(["dense"], _checksum_sql(_WITH_SYN), _BORDER), ["checksum"]))
 def _res06(spark, sf):
     return _checksum(SM.borderline_smote(FX.dense_sensors(spark, sf)))
 
 
-@register("res_07_adasyn")
+@register("res_07_adasyn", rsql(with_ctes(["dense"], _checksum_sql(_WITH_SYN), _ADASYN), ["checksum"]))
 def _res07(spark, sf):
     return _checksum(SM.adasyn(FX.dense_sensors(spark, sf)))
 

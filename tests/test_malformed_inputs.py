@@ -162,9 +162,9 @@ def test_answers_of_all_branches(spark):
     assert got[4]["results"][0]["error"] and got[5]["results"][0]["error"] and got[6]["results"][0]["error"].startswith("expected 2")
 
 
-@pytest.mark.parametrize("limit", [256, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_running_sums_keep_groups_without_key(spark, monkeypatch, limit):
-    monkeypatch.setattr(cumulative, "MAX_BIG_GROUPS", limit)
+    monkeypatch.setattr(cumulative, "CUTS_BROADCAST", limit)
     rows = [(None if i % 3 == 0 else i % 3, float((i * 7) % 31), 1) for i in range(120)] + [(5, None, 1), (5, 1.0, 1)]
     df = spark.createDataFrame(rows, "g int, v double, n int")
     got = cumulative.running_sums(df, "v", ["n"], ["g"], descending=False, target_rows=10, tie_cols=["n"])
