@@ -11,9 +11,11 @@ from ..sinks import reports as R
 from ..sources import fixtures as FX
 from ..sources import sensor_text as ST
 from ..sources import wafer_table as WT
-from .catalog import register
+from .catalog import ORACLE, register
 from .common import round_doubles, rsql
+from . import profile_queries  # noqa: F401  (their SQL is reused below)
 from .oracle_fixtures import h, h60, with_ctes
+from .sensor_queries import _three_way
 
 
 # ------------------------------------------------------------- wafer table
@@ -190,14 +192,15 @@ def _src04(spark, sf):
                     lambda a, b: a + b).alias("checksum")))
 
 
-@register("snk_01_split_files")
+@register("snk_01_split_files", f"""
+  SELECT split, count(*) AS count FROM ({ORACLE["spl_02_three_way_split"]}) GROUP BY split""")
 def _snk01(spark, sf):
-    from .sensor_queries import _three_way
     paths = R.write_splits(_three_way(spark, sf), shared_dir(spark, "splits"))
     return spark.read.parquet(paths["data"]).groupBy("split").count()
 
 
-@register("snk_02_03_reports_roundtrip")
+@register("snk_02_03_reports_roundtrip", f"""
+  SELECT n_samples, CAST(n_features AS BIGINT) AS n_features, n_fail FROM ({ORACLE["dq_06_dataset_summary"]})""")
 def _snk02(spark, sf):
     base = shared_dir(spark, "reports")
     summary = P.dataset_summary(FX.sensors(spark, sf))

@@ -200,15 +200,17 @@ def _set04(spark, sf):
     return base.join(kept.select("unit_id"), "unit_id", "left_anti").select("unit_id", "y")
 
 
-@register("snk_06_report_tables")
+@register("snk_06_report_tables", f"""
+  SELECT i, feature, missing_count, missing_rate FROM ({ORACLE["srt_02_top_missing"]})
+  UNION ALL SELECT i, feature, NULL, NULL FROM ({ORACLE["srt_01_top_associated"]})""")
 def _snk06(spark, sf):
     s = FX.sensors(spark, sf)
-    paths = R.write_tables({"top_missing": P.missingness(s).orderBy(F.col("missing_rate").desc()).limit(20),
+    paths = R.write_tables({"top_missing": P.missingness(s).orderBy(F.col("missing_rate").desc(), "i").limit(20),
                             "top_associated": P.top_associated(P.point_biserial(s), 20)},
                            shared_dir(spark, "report-tables"))
-    return spark.read.parquet(paths["top_missing"]).unionByName(
+    return round_doubles(spark.read.parquet(paths["top_missing"]).unionByName(
         spark.read.parquet(paths["top_associated"]).select("i", "feature", F.lit(None).cast("long").alias("missing_count"),
-                                                           F.lit(None).cast("double").alias("missing_rate")))
+                                                           F.lit(None).cast("double").alias("missing_rate"))))
 
 
 @register("snk_06_operating_points", " UNION ALL ".join(

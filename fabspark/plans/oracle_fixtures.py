@@ -80,7 +80,7 @@ _add("scored", f"""
 # F4 -------------------------------------------------------------------------
 _add("mc_long", """
   SELECT e.vec_id AS id, CAST(e.label AS INTEGER) AS y, CAST(t.k AS INTEGER) AS k,
-         CAST(e.embedding[t.k + 1] AS DOUBLE) + CASE WHEN t.k = e.label THEN 0.15 ELSE 0.0 END AS z
+         list_sum(list_transform(range(t.k + 1, len(e.embedding) + 1, 10), lambda j: CAST(e.embedding[j] AS DOUBLE))) + CASE WHEN t.k = e.label THEN 0.15 ELSE 0.0 END AS z
   FROM embeddings e CROSS JOIN range(10) AS t(k)""")
 _add("mc_prob", """
   SELECT id, y, k, z, ez / sum(ez) OVER (PARTITION BY id) AS p

@@ -262,15 +262,30 @@ def _rte06(spark, sf):
     return scored.unionByName(bad)
 
 
-@register("rte_04_route_and_predict")
-def _rte04_all(spark, sf):
-    """All requests of F8, all sensor rows and all maps, each with the results of its branch."""
+def _all_requests(spark, sf):
+    """All requests of F8, all sensor rows and all maps, and a scoring branch for each domain."""
     from .route_queries import _bundle_params
     train, _ = _split(spark, sf)
     sensor = TR.fit_sensor_model(train, "logreg", "class_weight")
     wafer, classes, _ = _wafer_training(spark, sf)
     requests = FX.requests(spark, sf).unionByName(FX.sensor_requests(spark, sf)).unionByName(FX.wafer_requests(spark, sf).select(
         (F.col("request_id") - 1_000_000_000).alias("request_id"), "payload"))
-    branches = {"yield_curve": S.yield_branch(_bundle_params(spark, sf)), "secom": S.sensor_branch(sensor),
-                "wafer_cnn": S.wafer_branch(lambda maps: TR.classify_wafers(wafer, maps, classes), MAP_SIZE)}
+    return requests, {"yield_curve": S.yield_branch(_bundle_params(spark, sf)), "secom": S.sensor_branch(sensor),
+                      "wafer_cnn": S.wafer_branch(lambda maps: TR.classify_wafers(wafer, maps, classes), MAP_SIZE)}
+
+
+@register("rte_04_route_and_predict")
+def _rte04_all(spark, sf):
+    requests, branches = _all_requests(spark, sf)
     return S.answer(cut_lineage(S.route(requests)), branches)      # every branch reads the routed rows
+
+
+@register("str_01_streaming_answers")
+def _str01_answers(spark, sf):
+    """The same requests as a stream of files, answered in all three branches."""
+    from ..streaming import scoring as STR
+    requests, branches = _all_requests(spark, sf)
+    base = shared_dir(spark, "stream-answers")
+    requests.repartition(4, "request_id").write.parquet(f"{base}/source")
+    STR.stream_answers(spark, f"{base}/source", requests.schema, f"{base}/sink", f"{base}/ckpt", branches, max_files_per_trigger=2)
+    return STR.read_answers(spark, f"{base}/sink")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sql_surface
 from ..operators import wafer as W
 from ..sources import fixtures as FX
 from ..functions.labels import YIELD_UNLABELED
@@ -57,6 +58,17 @@ def _flagship_curve(spark, sf_dir, method="kernel", min_windows=W.MIN_WINDOWS_PE
     return W.yield_curve(wf, min_windows=min_windows, method=method)
 
 
+@register("waf_03_sql_table_function", _curve_sql())
+def _waf03_sql(spark, sf):
+    sql_surface.register(spark)
+    return round_doubles(spark.sql(f"""
+      SELECT d.die_window AS `window`, CAST(d.die_window * d.die_window AS DOUBLE) AS area,
+             sum(d.n_yield) / sum(d.n_valid) AS yield, sum(d.n_valid) AS n_valid, sum(d.n_yield) AS n_yield
+      FROM {{wafers}} m, LATERAL die_windows(m.cells, m.rows, m.cols, array({", ".join(map(str, W.WINDOW_SIZES))})) d
+      GROUP BY d.die_window HAVING sum(d.n_valid) >= {W.MIN_WINDOWS_PER_AREA}""",
+        wafers=W.filter_wafers(FX.wafers(spark, sf), W.MIN_DIE_COUNT)))
+
+
 register("waf_03_yield_curve", _curve_sql())(
     lambda spark, sf: round_doubles(_flagship_curve(spark, sf)))
 

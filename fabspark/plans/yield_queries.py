@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql_surface
 from ..functions import yieldmodels as YM
 from ..operators import yieldfit as YF
 from ..sinks import bundle as B
 from ..session import shared_dir
 from ..sources import fixtures as FX
 from . import yield_plan as YP
-from .catalog import register
+from .catalog import ORACLE, register
 from .common import round_doubles, rsql
 from .oracle_fixtures import with_ctes
 from .wafer_queries import _blocks_sql, _COUNTS, _CURVE, _SIZES
@@ -145,6 +146,16 @@ def _mdl01(spark, sf):
     return round_doubles(out.select("part_id", "model", "yield"))
 
 
+@register("mdl_01_03_sql_functions", ORACLE["mdl_01_03_forward_yield"])
+def _mdl01_sql(spark, sf):
+    sql_surface.register(spark)
+    models = ", ".join(f"struct('{r[0]}' AS model, {r[1]!r}D AS d0, {'CAST(NULL AS DOUBLE)' if r[2] is None else f'{r[2]!r}D'} AS alpha)"
+                       for r in F7)
+    return round_doubles(spark.sql(f"""
+      SELECT a.part_id, p.model, model_yield(p.model, a.area, p.d0, p.alpha) AS yield
+      FROM {{areas}} a LATERAL VIEW inline(array({models})) p AS model, d0, alpha""", areas=FX.areas(spark, sf)))
+
+
 @register("mdl_11_forward_pivot", rsql(with_ctes(["areas"], f"""
   SELECT area,
          max(CASE WHEN model = 'poisson' THEN y END) AS poisson,
