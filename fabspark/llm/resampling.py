@@ -16,7 +16,7 @@ Both models are bounded tables (one number a bucket). The k-th place is found
 from a global order with one total a partition, not in one task.
 
 Defined cases: null or wordless texts have log weight 0; rows without label
-train nothing; without good labels on both sides every document is kept; ties go to the smaller doc_id; repeated rows are sampled
+train nothing, an id labelled twice is good if all its labels are; without good labels on both sides every document is kept; ties go to the smaller doc_id; repeated rows are sampled
 as separate rows; extra columns are ignored; empty tables work.
 """
 from __future__ import annotations
@@ -103,7 +103,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = 0.995, label
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     labels = labels.where("doc_id IS NOT NULL AND good IS NOT NULL").select(F.col("doc_id").cast("long"), "good")
-    used = labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(label_rows)
+    labels = labels.groupBy("doc_id").agg(F.min("good").alias("good"))
+    # the hash cut keeps what each task sends near the number wanted
+    key, n = F.xxhash64("doc_id", F.lit(seed)), labels.count()
+    share = min(1.0, (1.2 * label_rows + 1000) / max(1, n))
+    cut = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    used = labels.where(key <= F.lit(cut)).orderBy(key, "doc_id").limit(label_rows)
     good = {r["doc_id"]: r["good"] for r in used.collect()}          # bounded by label_rows
     ordered_ids = sorted(good)
     held_out = {d for i, d in enumerate(ordered_ids) if i % 5 == 0}  # sets the cut
@@ -116,6 +121,6 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = 0.995, label
     calibration = [(d,) for d in held_out if good[d]]                # at most a fifth of label_rows
     rows = docs.sparkSession.createDataFrame(calibration, "doc_id bigint")
     seen = sorted(r["log_weight"] for r in ordered.join(F.broadcast(rows), "doc_id").select("log_weight").collect())
-    cut = seen[int((1 - keep_good) * len(seen))] if seen and ratio.any() else -np.inf
-    k = ordered.where(F.col("log_weight") >= F.lit(float(cut))).count()
+    floor = seen[int((1 - keep_good) * len(seen))] if seen and ratio.any() else -np.inf
+    k = ordered.where(F.col("log_weight") >= F.lit(float(floor))).count()
     return ordered.select("doc_id", "n_grams", "log_weight", "sample_key", (F.col("_row") < k).alias("kept"))

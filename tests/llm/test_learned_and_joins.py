@@ -48,6 +48,89 @@ def test_resampling_keeps_good_and_drops_junk(spark, edges, empty):
     assert resampling.resample(empty, labels).count() == 0
 
 
+def test_resampling_equals_plain_version(spark):
+    """Weights from tokens found by a pattern and counted one by one; the cut and the top k by sorting."""
+    import re
+    from collections import Counter
+    rng = random.Random(5)
+    texts = [prose(i, 40) + rng.choice(["", " a$b %% C-3", "\tx\x0by\n\u00e9t\u00e9", " !!" * 9]) for i in range(90)] + [None, "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    label = [(i, i % 3 > 0) for i in range(0, 90, 2)] + [(4, False)]            # id 4 is labelled twice
+    labels = spark.createDataFrame(label, "doc_id bigint, good boolean")
+    got = {r["doc_id"]: r for r in resampling.resample(docs, labels, keep_good=0.9).collect()}
+    buckets, token = resampling.BUCKETS, re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x20\x09-\x0d]+")
+
+    def grams(text):
+        raw = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in (text or "").encode())
+        at = [m.span() for m in token.finditer(raw)]
+        runs = [raw[a:b] for a, b in at] + [raw[a[0]:b[1]] for a, b in zip(at, at[1:])]
+        return [int(resampling.ngram_hashes(r, np.array([0]), np.array([len(r)]), 1)[0] % np.uint64(buckets)) for r in runs]
+    bags = {i: grams(t) for i, t in enumerate(texts)}
+    good = {}
+    for i, ok in label:
+        good[i] = good.get(i, True) and ok
+    held = [d for j, d in enumerate(sorted(good)) if j % 5 == 0]
+    raw, target = Counter(), Counter()
+    for i, bag in bags.items():
+        raw.update(bag)
+        if good.get(i) and i not in held:
+            target.update(bag)
+    rate = lambda c, b: np.log((c[b] + 0.1) / (sum(c.values()) + 0.1 * buckets))
+    weight = {i: sum(rate(target, b) - rate(raw, b) for b in bag) for i, bag in bags.items()}
+    for i, r in got.items():
+        assert r["n_grams"] == len(bags[i]) and abs(r["log_weight"] - weight[i]) < 1e-4
+    seen = sorted(got[d]["log_weight"] for d in held if good[d])
+    k = sum(r["log_weight"] >= seen[int(0.1 * len(seen))] for r in got.values())
+    best = sorted(got, key=lambda i: (-got[i]["sample_key"], i))[:k]
+    assert 0 < k < len(texts) and {i for i in got if got[i]["kept"]} == set(best)
+    few = resampling.resample(docs, labels, label_rows=10)                       # a bounded sample of the labels
+    assert few.count() == len(texts)
+
+
+def test_language_equals_plain_version(spark):
+    """Counts, bits, weights and decoding of a small corpus, one n-gram at a time."""
+    import math
+    from collections import Counter
+    rows = [(i, f"{w} {prose(i, 6) if lang == 'en' else w * 2}", lang) for i, (w, lang) in enumerate(
+        [("the cat and", "en"), ("der hund und", "de"), ("le chat et", "fr"), ("el perro y", "es")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    buckets = 1 << 10
+    model = language.learn(docs, buckets=buckets)
+
+    def grams(text):
+        raw = b" " + b" ".join(bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode()).split()) + b" "
+        pair = [raw[j] * 257 + raw[j + 1] for j in range(len(raw) - 1)]
+        triple = [(p * 263 + raw[j + 2] + 65536) % 2 ** 32 for j, p in enumerate(pair[:-1])]
+        return [((g * 2654435761 % 2 ** 32) >> 8) % buckets for g in pair + triple]
+    langs = ["de", "en", "es", "fr"]
+    assert model.languages == langs
+    counts = {a: Counter() for a in langs}
+    for _, text, lang in rows:
+        counts[lang].update(grams(text))
+    smooth = 0.5 / (sum(sum(c.values()) for c in counts.values()) / 4)
+    rate = {a: {b: n / sum(c.values()) for b, n in c.items()} for a, c in counts.items()}
+    code, bits = model.code, model.code.shape[1]
+    side = lambda b, bit, sign: [rate[a].get(b, 0.0) for a, c in zip(langs, code) if c[bit] == sign]
+    odds = lambda b, bit: math.log(np.mean(side(b, bit, 1)) + smooth) - math.log(np.mean(side(b, bit, -1)) + smooth)
+
+    def margins(text):
+        g = grams(text)
+        return [sum(odds(b, bit) for b in g) / len(g) for bit in range(bits)]
+    hits = {(a, bit): [] for a in langs for bit in range(bits)}
+    for _, text, lang in rows:
+        for bit, m in enumerate(margins(text)):
+            hits[lang, bit].append(code[langs.index(lang)][bit] * m > 0)
+    acc = np.array([[(sum(hits[a, bit]) + 1) / (len(hits[a, bit]) + 2) for bit in range(bits)] for a in langs])
+    acc /= acc.sum(axis=1, keepdims=True)
+    for r in language.predict(docs.select("doc_id", "text"), model).collect():
+        m = margins(rows[r["doc_id"]][1])
+        loss = [sum(acc[i][bit] * math.log1p(math.exp(-12.0 * code[i][bit] * m[bit])) for bit in range(bits)) for i in range(4)]
+        share = [math.exp(min(loss) - v) for v in loss]
+        best = share.index(max(share))
+        assert r["lang_pred"] == langs[best] and abs(r["score"] - share[best] / sum(share)) < 1e-4
+        assert r["ambiguous"] == (share[best] / sum(share) < 0.6)
+
+
 def brute_components(docs, n, percent):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     sets = []
