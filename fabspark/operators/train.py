@@ -124,7 +124,7 @@ def _weight_col(y: str, weights: dict):
 def _resampled(prepared: DataFrame, strategy: str, y: str, seed: int) -> DataFrame:
     """(unit_id, y, features) after the strategy's sampler."""
     if strategy not in ("none", "class_weight"):
-        prepared = cut_lineage(prepared)        # the samplers read it several times, the neighbour search filters on its vectors
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)       # the samplers read it several times
     plan = RS.build_plan(strategy, y=y, id_col="unit_id", x="features", seed=seed)
     out = prepared if plan.sampler is None else plan.sampler(prepared)
     return out.select("unit_id", y, "features")
