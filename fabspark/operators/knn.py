@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import h60
-from ..session import cut_lineage
+from pyspark import StorageLevel
 
 BLOCK_ROWS = 4096            # rows of one side in one comparison task
 CELL_ROWS = 1024             # reference rows a cell aims at
@@ -47,6 +47,11 @@ def _distances(a: np.ndarray, b: np.ndarray):
         yield slice(s, s + step), ((a[s:s + step, None, :] - b[None, :, :]) ** 2).sum(axis=2)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """Read several times: cached, and recomputed where blocks are lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _stack(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(float)
 
@@ -171,7 +176,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: st
                                       F.col(y).cast("long").alias("rlabel"))
     copies = Window.partitionBy("rx").orderBy("rid")
     r = r.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= need).drop("_copy")
-    r = cut_lineage(r)
+    r = _held(r)
     id_type = query.schema[id_col].dataType
     schema = T.StructType([T.StructField("qid", id_type), T.StructField("nid", id_type),
                            T.StructField("dist", T.DoubleType()), T.StructField("nlabel", T.LongType())])
@@ -183,8 +188,8 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: st
     if short != long:
         raise ValueError(f"vectors of different lengths: {short} to {long}")
     pivots = _pivots(r, n, cell_rows)
-    r = cut_lineage(_in_cells(r, "rx", pivots))
-    q = cut_lineage(_in_cells(q, "qx", pivots))
+    r = _held(_in_cells(r, "rx", pivots))
+    q = _held(_in_cells(q, "qx", pivots))
     # at most MAX_PIVOTS rows each
     cells = r.groupBy("cell").agg(F.count("*").alias("n"), F.min("to_pivot").alias("near"),
                                   F.max("to_pivot").alias("far")).orderBy("cell").toPandas()
@@ -196,11 +201,11 @@ def knn(query: DataFrame, ref: DataFrame, k: int, id_col: str = "unit_id", x: st
     first = _compare(q, r, cells, at_home, k, exclude_self, block_rows, schema)
     top = first.withColumn("_rank", F.row_number().over(by_query)).filter(F.col("_rank") <= k)
     if len(cells) > 1:
-        top = cut_lineage(top.drop("_rank"))
+        top = _held(top.drop("_rank"))
         kth = top.groupBy("qid").agg(F.count("*").alias("found"), F.max("dist").alias("kth"))
         home = (q.join(kth, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
                 .select("qid", "qx", "cell", "found", F.coalesce("kth", F.lit(float("inf"))).alias("kth")))
-        away = cut_lineage(_visits(home, pivots, cells, need, k))
+        away = _held(_visits(home, pivots, cells, need, k))
         visits = {row["cell"]: row["count"] for row in away.groupBy("cell").count().collect()}
         stats["pairs"] += int(sum(c * size[v] for v, c in visits.items()))
         more = _compare(away, r, cells, visits, k, exclude_self, block_rows, schema)

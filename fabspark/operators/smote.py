@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import h60
-from ..session import cut_lineage
-from .knn import knn
+from .knn import _held, knn
 from .split import SEED, class_counts, seeded_rank
 from .resample import minority_majority
 
@@ -155,9 +154,9 @@ def tomek_filter(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str =
 
 def smote_enn(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-08 (a non-default sampling ratio is not passed on, as in the reference)."""
-    return enn_filter(cut_lineage(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
+    return enn_filter(_held(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
 
 
 def smote_tomek(df: DataFrame, y: str = "y", id_col: str = "unit_id", x: str = "x", seed: int = SEED) -> DataFrame:
     """RES-09."""
-    return tomek_filter(cut_lineage(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
+    return tomek_filter(_held(smote(df, y, id_col, x, seed=seed)), y, id_col, x)
