@@ -409,10 +409,21 @@ def permutation_importance(m: SensorModel, test: DataFrame, n_repeats: int = 10,
 
 
 # ------------------------------------------------------------- TRN-12
+MAX_CLASSES = 1000
+
+
 def fit_wafer_classifier(train: DataFrame, classes: list[str], x: str = "x", label: str = "label",
                          method: str = "rf", n_trees: int = 100, seed: int = SEED, weights: bool = True):
     """TRN-12 (re-aimed): multiclass wafer-pattern classifier on resized,
-    normalised maps. Class weights = inverse frequency normalised to mean 1."""
+    normalised maps. Class weights = inverse frequency normalised to mean 1.
+
+    Rows whose map is null or whose label is null or not in ``classes`` are not trained on; more than
+    ``MAX_CLASSES`` classes raise, as do rows of which none is left."""
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"at most {MAX_CLASSES} classes; got {len(classes)}")
+    train = train.filter(F.col(label).isin(list(classes)) & F.col(x).isNotNull())
+    if train.isEmpty():
+        raise ValueError("no row has a map and one of the classes")
     idx = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     d = train.withColumn("label_idx", idx.cast("double")).withColumn("features_vec", array_to_vector(x))
     if weights:

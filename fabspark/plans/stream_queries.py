@@ -35,10 +35,11 @@ def _str02(spark, sf):
     span = (lo_hi[1] - lo_hi[0]).total_seconds() or 1.0
     chunk = ((F.unix_timestamp("ts") - F.lit(lo_hi[0].timestamp())) / span * N_CHUNKS).cast("int")
     t = t.withColumn("_chunk", F.least(chunk, F.lit(N_CHUNKS - 1)))
-    # files arrive in time order, one per trigger, so state carries across micro-batches
-    for c in range(N_CHUNKS):
-        t.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1).write.mode("append").parquet(f"{base}/source")
     schema = t.drop("_chunk").schema
-    STR.stream_failure_rate(spark, f"{base}/source", schema, f"{base}/sink", f"{base}/ckpt")
+    # chunks arrive in time order, each as all the files its tasks write; the stream goes on from its
+    # checkpoint after every arrival, so state carries across micro-batches
+    for c in range(N_CHUNKS):
+        t.filter(F.col("_chunk") == c).drop("_chunk").write.mode("append").parquet(f"{base}/source")
+        STR.stream_failure_rate(spark, f"{base}/source", schema, f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=None)
     out = STR.read_failure_rate(spark, f"{base}/sink")
     return round_doubles(out.withColumn("bin", F.date_format("bin", "yyyy-MM-dd")))

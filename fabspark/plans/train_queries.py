@@ -234,7 +234,7 @@ MAP_SIZE = 64
 def _wafer_training(spark, sf, size=MAP_SIZE):
     from .wafer_queries import labelled_wafers
     lab = W.filter_labeled(labelled_wafers(spark, sf), drop_none=False)
-    classes = [r[0] for r in lab.select("label").distinct().orderBy("label").collect()]
+    classes = [r[0] for r in lab.select("label").distinct().orderBy("label").limit(TR.MAX_CLASSES + 1).collect()]
     data = W.resized(lab, size).select("wafer_id", "label", "x")
     s = SP.stratified_three_way(data, "label", "wafer_id").cache()
     model = TR.fit_wafer_classifier(s.filter(F.col("split") != "test"), classes)

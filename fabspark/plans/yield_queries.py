@@ -245,6 +245,76 @@ def _mdl15(spark, sf):
     return round_doubles(out.select(F.col("i").cast("int").alias("i"), "model", "area", "yield"))
 
 
+# The least-squares minimum of the one-parameter models, by Gauss-Newton steps with a numerical slope
+# from the log-linear estimate; the fitted curve of every model is compared by its loss.
+_WEIGHTS = """SELECT *, pow(1.0 / greatest(sqrt(pc * (1 - pc) / greatest(n_valid, 1)), 1e-4), 2) AS w2
+  FROM (SELECT *, least(greatest("yield", 1e-6), 1 - 1e-6) AS pc FROM {curve})"""
+
+
+def _steps(keys: str) -> list[tuple[str, str]]:
+    model, eps = "g.model", "(1 + 1e-6)"
+    at, up, down = (_pred_sql(model, d, "p.area", "1.0") for d in ("g.d0", f"g.d0 * {eps}", f"g.d0 / {eps}"))
+    slope = f"(({up}) - ({down})) / (g.d0 * {eps} - g.d0 / {eps})"
+    same = " AND ".join(f"p.{k} IS NOT DISTINCT FROM g.{k}" for k in keys.split(", ")) if keys else "true"
+    lead = f"{keys}, " if keys else ""
+    own = "".join(f"g.{k}, " for k in keys.split(", ")) if keys else ""
+    return [("gn", f"""
+      SELECT {lead}m.model, 0 AS it, d0 FROM (VALUES ('poisson'), ('murphy')) m(model),
+             (SELECT {lead}sum(w2 * area * -ln(pc)) / sum(w2 * area * area) AS d0 FROM pts {"GROUP BY " + keys if keys else ""})
+      UNION ALL
+      SELECT {own}g.model, g.it + 1, g.d0 + sum(p.w2 * ({slope}) * (p."yield" - ({at}))) / sum(p.w2 * pow({slope}, 2))
+      FROM gn g JOIN pts p ON {same} WHERE g.it < 40 GROUP BY {own}g.model, g.it, g.d0""")]
+
+
+@register("mdl_05_one_parameter_fits", _recursive(rsql(with_ctes(["wafers"], "SELECT model, d0 FROM gn WHERE it = 40",
+          _CURVE_CTES[:4] + [("pts", _WEIGHTS.format(curve="curve"))] + _steps("")), ["d0"])))
+def _mdl05_one(spark, sf):
+    fits = YF.fit_lm(YP.wafer_curve(spark, sf), models=["poisson", "murphy"])
+    return round_doubles(fits.select("model", "d0"))
+
+
+@register("mdl_07_one_parameter_fits_by_lot", _recursive(rsql(with_ctes(["wafers"], "SELECT lot_name, model, d0 FROM gn WHERE it = 40", [
+    ("kept", "SELECT * FROM wafers WHERE n_die >= 100"), ("blocks", _blocks_sql("cells", "kept", _SIZES)),
+    ("lots", """SELECT w.lot_name, b."window", CAST(sum(CASE WHEN has0 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid,
+                       CAST(sum(CASE WHEN has0 = 0 AND has2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_yield
+                FROM blocks b JOIN kept w USING (wafer_id) GROUP BY w.lot_name, b."window" """),
+    ("lcurve", """SELECT *, CAST("window" * "window" AS DOUBLE) AS area, CAST(n_yield AS DOUBLE) / n_valid AS "yield"
+                  FROM lots WHERE n_valid >= 30"""),
+    ("pts", _WEIGHTS.format(curve="lcurve"))] + _steps("lot_name")), ["d0"])))
+def _mdl07_one(spark, sf):
+    fits = YF.fit_lm(YP.wafer_curve(spark, sf, group_cols=["lot_name"]), ["lot_name"], models=["poisson", "murphy"])
+    return round_doubles(fits.select("lot_name", "model", "d0"))
+
+
+def _saved_grid_bundle(spark, sf):
+    """The bundle of the grid fits, written and read back."""
+    bundle = YP.train_bundle(spark, sf, ref_die_area_mm2=REF_MM2, method="grid")
+    return B.load_bundle(spark, B.save_bundle(bundle, shared_dir(spark, "bundle")))
+
+
+@register("mdl_16_saved_bundle_answers", rsql(with_ctes(["wafers", "areas"], f"""
+  SELECT a.part_id, f.model, {_pred_sql("f.model", "f.d0", f"a.area / {REF_MM2}", "f.alpha")} AS "yield"
+  FROM areas a, fits f""", _CURVE_CTES + _FITS), ["yield"]))
+def _mdl16_answers(spark, sf):
+    loaded = B.bundle_params(_saved_grid_bundle(spark, sf))
+    return round_doubles(YF.forward(FX.areas(spark, sf), loaded, scale=REF_MM2).select("part_id", "model", "yield"))
+
+
+@register("snk_04_saved_bundle_rows", rsql(with_ctes(["wafers"], f"""
+  SELECT 1 AS schema_version, CAST({REF_MM2} AS DOUBLE) AS ref_die_area_mm2, b.model, b.model = t.model AS is_best, true AS success,
+         b.d0, b.alpha, b.rmse, b.weighted_rmse, b.r2, b.aic, b.bic, 'grid' AS method
+  FROM board b, (SELECT model FROM board WHERE rank = 1) t""", _CURVE_CTES + _FITS + [_SCORES, _BOARD]),
+    ["ref_die_area_mm2", "d0", "alpha", "rmse", "weighted_rmse", "r2", "aic", "bic"]))
+def _snk04_rows(spark, sf):
+    rows = _saved_grid_bundle(spark, sf).select(
+        "schema_version", "ref_die_area_mm2", "best_model", F.col("metadata")["method"].alias("method"),
+        F.explode("models").alias("model", "m"))
+    return round_doubles(rows.select(
+        "schema_version", "ref_die_area_mm2", "model", (F.col("model") == F.col("best_model")).alias("is_best"), "m.success",
+        F.col("m.params")["D0"].alias("d0"), F.col("m.params")["alpha"].alias("alpha"),
+        *[F.col("m.scores")[c].alias(c) for c in ("rmse", "weighted_rmse", "r2", "aic", "bic")], "method"))
+
+
 # ------------------------------------------------------------ rows-only
 @register("mdl_05_lm_fit")
 def _mdl05(spark, sf):
