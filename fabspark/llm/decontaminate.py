@@ -2,17 +2,22 @@
 
 Benchmark texts are normalised (A-Z lower-cased, every run of other ASCII
 characters than letters and digits is a break) and cut into windows of
-``window`` consecutive words; a shorter item is one window. An automaton over
-all windows scans each normalised document once; word offsets are mapped back
-to code points of the original text.
-
-The automaton is sent to every worker, so its size is bounded: at most
-``max_item_bytes`` of benchmark text each; a larger benchmark is split by item
-into several automata that scan one after another (same result, no shuffle).
+``window`` consecutive words; a shorter item is one window. Every distinct
+benchmark word gets a symbol; one automaton over the windows' symbols scans each
+document's symbols once (a word that no item has breaks every match); word
+places are mapped back to code points of the original text.
+
+The automaton is sent to every worker, so its size is bounded: items are cut into
+overlapping pieces of at most ``PIECE_WORDS`` words, repeats are removed, and at
+most about ``max_item_bytes`` of pieces make one automaton (some 75 bytes of a
+worker's memory a byte, for 10-word windows). A larger benchmark is dealt by piece to several automata,
+which scan in stages of their own, so that a worker holds one at a time (same
+result; the documents and what was found are written between two stages).
 
 Defined cases: a null or empty text has no words and no hit; a null or empty
 item has no window; a null item_id still hits but is not listed; items repeated
-under the same id count once; an input column named like a result column is replaced; empty tables work.
+under the same id count once; texts and items of any length are scanned whole;
+an input column named like a result column is replaced; empty tables work.
 """
 from __future__ import annotations
 
@@ -24,31 +29,61 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import ALNUM_WORDS, code_points, held, small_batches, split_words, texts_as_bytes, word_starts
+from ..session import cut_lineage
+from .textkit import ALNUM_WORDS, code_points, held, small_batches, texts_as_bytes, word_starts
 
 RESULT = ("n_words", "n_hit", "items", "spans", "_ranges", "_items")
+PIECE_WORDS = 2000
+FIRST_SYMBOL = 0x10000         # beyond the surrogates; 0 stands for every other word
 
 
-def item_windows(text: bytes | None, window: int) -> set[bytes]:
+def item_pieces(text: bytes | None, window: int) -> list[bytes]:
+    """Distinct pieces of a normalised item that hold every window of it, each at most PIECE_WORDS words (or a window) long."""
     words = (text or b"").translate(ALNUM_WORDS).split()
-    if not words:
-        return set()
-    size = min(window, len(words))
-    return {b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)}
-
-
-def _automaton(rows: list[tuple], window: int) -> ahocorasick.Automaton | None:
-    owners: dict[bytes, list[str | None]] = {}
-    for item, text in rows:
-        for w in item_windows(text, window):
-            owners.setdefault(w, []).append(item)
-    if not owners:
-        return None
-    found = ahocorasick.Automaton()
-    for w, items in owners.items():
-        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w) + 1, items))
-    found.make_automaton()
-    return found
+    size = max(window, PIECE_WORDS)
+    starts = range(0, max(1, len(words) - window + 1), size - window + 1)
+    return list(dict.fromkeys(b" ".join(words[i:i + size]) for i in starts)) if words else []
+
+
+def _pieces(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), texts_as_bytes(b.column("text"))):
+                found = item_pieces(text, window)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())],
+                                                     names=["item_id", "piece"])
+    return run
+
+
+class _Machine:
+    """Symbols of the words and the automaton over the windows of some pieces."""
+
+    def __init__(self, rows: list[tuple], window: int):
+        self.symbols: dict[bytes, str] = {}
+        owners: dict[str, tuple] = {}                             # window: its length and items; equal values are shared
+        shared: dict[tuple, tuple] = {}
+        for item, piece in rows:
+            coded = "".join([self.symbols.setdefault(w, chr(FIRST_SYMBOL + len(self.symbols))) for w in piece.split(b" ")])
+            size = min(window, len(coded))
+            own = () if item is None else (item,)
+            for i in range(len(coded) - size + 1):
+                before = owners.get(coded[i:i + size], (size, ()))[1]
+                value = (size, before if set(own) <= set(before) else (*before, *own))
+                owners[coded[i:i + size]] = shared.setdefault(value, value)
+        self.found = None
+        if owners:
+            self.found = ahocorasick.Automaton()
+            while owners:
+                self.found.add_word(*owners.popitem())
+            self.found.make_automaton()
+
+    def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple]]:
+        """(first word, end, item ids) of every occurrence of a window."""
+        if self.found is not None and words:
+            known = self.symbols.get
+            for end, (size, items) in self.found.iter("".join([known(w, "\0") for w in words])):
+                yield end + 1 - size, end + 1, items
 
 
 def _scan(shared, window: int, passed: list[str]):
@@ -56,19 +91,17 @@ def _scan(shared, window: int, passed: list[str]):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = held(f"automaton {key}", lambda: _automaton(shared.value, window))
+        machine = held(f"automaton {key}", lambda: _Machine(shared.value, window))
         for b in batches:
             n_words, ranges, items = [], [], []
             before = (b.column("_ranges").to_pylist(), b.column("_items").to_pylist())
             for text, old, seen in zip(texts_as_bytes(b.column("text")), *before):
-                joined, starts, _ = split_words(text, ALNUM_WORDS)
+                words = (text or b"").translate(ALNUM_WORDS).split()
                 spans, ids = list(old), set(seen)
-                if machine is not None and len(starts):
-                    for end, (size, length, owner) in machine.iter(f" {joined.decode('latin-1')} "):
-                        at = int(np.searchsorted(starts, end - length))
-                        spans += (at, at + size)
-                        ids.update(i for i in owner if i is not None)
-                n_words.append(len(starts))
+                for start, end, owners in machine.scan(words):
+                    spans += (start, end)
+                    ids.update(owners)
+                n_words.append(len(words))
                 ranges.append(spans)
                 items.append(sorted(ids))
             cols = [b.column(c) for c in passed]
@@ -107,26 +140,29 @@ def _finish(passed: list[str]):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-               max_item_bytes: int = 400_000) -> DataFrame:
+               max_item_bytes: int = 1_000_000) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any occurrence of a window),
     items (ids with occurring windows, sorted) and spans (code points, merged)."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
     small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
-                             F.col("text").cast("binary").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    pieces = items.mapInArrow(_pieces(window), "item_id string, piece binary").distinct()
+    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     parts = max(1, -(-size // max_item_bytes))
+    if parts > 1:
+        pieces = cut_lineage(pieces)                    # read once a part
     passed = docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.withColumns({"_ranges": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
     finish = _finish(passed)
     for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        rows = [(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
+        part = pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(parts)) == k)
+        rows = [(r["item_id"], bytes(r["piece"])) for r in part.collect()]
         scan = _scan(spark.sparkContext.broadcast(rows), window, passed)
         if k + 1 < parts:
-            out = out.mapInArrow(scan, f"{kept}, n_words bigint, _ranges array<bigint>, _items array<string>").drop("n_words")
+            out = cut_lineage(out.mapInArrow(
+                scan, f"{kept}, n_words bigint, _ranges array<bigint>, _items array<string>").drop("n_words"))
     # the last scan also finishes its rows: a step of its own would need another worker a core
     return out.mapInArrow(lambda batches: finish(scan(batches)), f"{kept}, n_words bigint, n_hit bigint, "
                           "items array<string>, spans array<struct<start: bigint, end: bigint>>")

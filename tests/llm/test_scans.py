@@ -44,6 +44,26 @@ def test_decontamination(spark, edges, empty):
     assert decontaminate.find_leaks(edges, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_long_and_repeated_items_in_pieces(spark):
+    long = " ".join(f"w{i % 977}v{i % 1013}" for i in range(3 * decontaminate.PIECE_WORDS))
+    parts = long.split()
+    items = [("long", long), ("long", long), ("twin", long), (None, "a b c"), ("short", "a b c")]
+    edge = decontaminate.PIECE_WORDS
+    texts = ["x " + " ".join(parts[at:at + 10]) + " y" for at in (0, edge - 9, edge - 5, edge, 2 * edge - 18, 2 * edge - 3, len(parts) - 10)]
+    texts += [" ".join(parts[5:14]), "a b x a b c", long, "A, b! C" * 3, " ".join(["unknown"] * 50), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    plain = [(i, t) for i, t in items if i is not None]
+    for limit in (1_000_000, 30_000):
+        for r in decontaminate.find_leaks(docs, bench, 10, max_item_bytes=limit).collect():
+            n, hit, ids = brute_leaks(r["text"], plain, 10)
+            assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, ids)
+    pieces = decontaminate.item_pieces(long.encode(), 10)
+    assert max(len(p.split()) for p in pieces) <= edge
+    assert {tuple(p.split()[i:i + 10]) for p in pieces for i in range(len(p.split()) - 9)} == {
+        tuple(w.encode() for w in parts[i:i + 10]) for i in range(len(parts) - 9)}
+
+
 def test_decontamination_query_matches_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
