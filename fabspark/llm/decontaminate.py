@@ -2,15 +2,17 @@
 
 Benchmark texts are normalised (A-Z lower-cased, every run of other ASCII
 characters than letters and digits is a break) and cut into windows of
-``window`` consecutive words; a shorter item is one window. Every distinct
-benchmark word gets a symbol; one automaton over the windows' symbols scans each
-document's symbols once (a word that no item has breaks every match); word
-places are mapped back to code points of the original text.
+``window`` consecutive words; a shorter item is one window. Any such window of
+an item holds a whole one of the item's blocks, cut from its start, of half a
+window each. One automaton over the blocks (and over shorter items as they are)
+scans each normalised document once; an occurrence is extended to both sides as
+long as the words agree with the item, and counts if it reaches a window. Word
+offsets are mapped back to code points of the original text.
 
 The automaton is sent to every worker, so its size is bounded: items are cut into
 overlapping pieces of at most ``PIECE_WORDS`` words, repeats are removed, and at
-most about ``max_item_bytes`` of pieces make one automaton (some 75 bytes of a
-worker's memory a byte, for 10-word windows). A larger benchmark is dealt by piece to several automata,
+most about ``max_item_bytes`` of pieces make one automaton (some 50 bytes of a
+worker's memory a byte). A larger benchmark is dealt by piece to several automata,
 which scan in stages of their own, so that a worker holds one at a time (same
 result; the documents and what was found are written between two stages).
 
@@ -34,7 +36,6 @@ from .textkit import ALNUM_WORDS, code_points, held, small_batches, texts_as_byt
 
 RESULT = ("n_words", "n_hit", "items", "spans", "_ranges", "_items")
 PIECE_WORDS = 2000
-FIRST_SYMBOL = 0x10000         # beyond the surrogates; 0 stands for every other word
 
 
 def item_pieces(text: bytes | None, window: int) -> list[bytes]:
@@ -57,33 +58,48 @@ def _pieces(window: int):
 
 
 class _Machine:
-    """Symbols of the words and the automaton over the windows of some pieces."""
+    """The automaton over the blocks of some pieces, and the pieces' words."""
 
     def __init__(self, rows: list[tuple], window: int):
-        self.symbols: dict[bytes, str] = {}
-        owners: dict[str, tuple] = {}                             # window: its length and items; equal values are shared
-        shared: dict[tuple, tuple] = {}
+        self.window, half = window, (window + 1) // 2
+        same: dict[bytes, set[str]] = {}                          # pieces of equal words are one
         for item, piece in rows:
-            coded = "".join([self.symbols.setdefault(w, chr(FIRST_SYMBOL + len(self.symbols))) for w in piece.split(b" ")])
-            size = min(window, len(coded))
-            own = () if item is None else (item,)
-            for i in range(len(coded) - size + 1):
-                before = owners.get(coded[i:i + size], (size, ()))[1]
-                value = (size, before if set(own) <= set(before) else (*before, *own))
-                owners[coded[i:i + size]] = shared.setdefault(value, value)
-        self.found = None
-        if owners:
-            self.found = ahocorasick.Automaton()
-            while owners:
-                self.found.add_word(*owners.popitem())
+            same.setdefault(piece, set()).update(() if item is None else (item,))
+        word: dict[bytes, bytes] = {}
+        self.pieces = [([word.setdefault(w, w) for w in piece.split(b" ")], sorted(ids)) for piece, ids in same.items()]
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        for n, (words, _) in enumerate(self.pieces):
+            size = half if len(words) >= window else len(words)
+            for i in range(0, len(words) - size + 1, size):
+                blocks.setdefault(f" {b' '.join(words[i:i + size]).decode('latin-1')} ", []).append((n, i))
+        self.found = ahocorasick.Automaton() if blocks else None
+        if blocks:
+            for block, places in blocks.items():
+                self.found.add_word(block, (len(block), tuple(places)))
             self.found.make_automaton()
 
-    def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple]]:
-        """(first word, end, item ids) of every occurrence of a window."""
-        if self.found is not None and words:
-            known = self.symbols.get
-            for end, (size, items) in self.found.iter("".join([known(w, "\0") for w in words])):
-                yield end + 1 - size, end + 1, items
+    def scan(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """(first word, end, item ids) of every longest run of words that holds a window."""
+        if self.found is None or not words:
+            return
+        starts, done = None, {}                                   # done: end of the last run by piece and distance
+        for end, (length, places) in self.found.iter(f" {b' '.join(words).decode('latin-1')} "):
+            if starts is None:
+                size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                starts = np.cumsum(size + 1) - size - 1
+            at = int(np.searchsorted(starts, end - length + 1))
+            for n, i in places:
+                if done.get((n, at - i), -1) > at:
+                    continue
+                mine, ids = self.pieces[n]
+                first, last = at, at
+                while first > 0 and first - at + i > 0 and words[first - 1] == mine[first - 1 - at + i]:
+                    first -= 1
+                while last < len(words) and last - at + i < len(mine) and words[last] == mine[last - at + i]:
+                    last += 1
+                done[n, at - i] = last
+                if last - first >= min(self.window, len(mine)):
+                    yield first, last, ids
 
 
 def _scan(shared, window: int, passed: list[str]):
@@ -140,7 +156,7 @@ def _finish(passed: list[str]):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-               max_item_bytes: int = 1_000_000) -> DataFrame:
+               max_item_bytes: int = 2_000_000) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any occurrence of a window),
     items (ids with occurring windows, sorted) and spans (code points, merged)."""
     spark = docs.sparkSession

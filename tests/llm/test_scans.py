@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from llm_conftest import SF001, edges, empty, prose  # noqa: F401
@@ -64,6 +65,22 @@ def test_long_and_repeated_items_in_pieces(spark):
         tuple(w.encode() for w in parts[i:i + 10]) for i in range(len(parts) - 9)}
 
 
+def test_windows_of_every_size_in_repetitive_texts():
+    """Few different words: windows overlap themselves and each other in many ways."""
+    rng = random.Random(5)
+    draw = lambda n: " ".join(rng.choice("ab") if rng.random() < 0.9 else "c" for _ in range(n))
+    for trial in range(600):
+        window = rng.randint(1, 7)
+        items = [(str(k), draw(rng.randint(0, 14))) for k in range(rng.randint(0, 3))]
+        text = draw(rng.randint(0, 60))
+        rows = [(k, p) for k, t in items for p in decontaminate.item_pieces(t.encode(), window)]
+        hit, ids = set(), set()
+        for first, end, owners in decontaminate._Machine(rows, window).scan(text.encode().split()):
+            hit.update(range(first, end))
+            ids.update(owners)
+        assert (len(hit), sorted(ids)) == brute_leaks(text, items, window)[1:], (window, items, text)
+
+
 def test_decontamination_query_matches_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
