@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from llm_conftest import SF001, edges, empty, prose  # noqa: F401
+from llm_conftest import SF001, WORDS, edges, empty, prose  # noqa: F401
 
 from fabspark.llm import decontaminate, licenses, line_rules, secrets_scan
 from fabspark.llm import queries as Q
@@ -177,6 +177,25 @@ def test_secrets_beside_base_spans(spark, edges):
     assert got[2] == ["markov:2:43", "hex:43:83", "markov:83:124"] and got[7][2:] == ["markov:81:122"]
 
 
+def test_planted_keys_among_identifiers(spark):
+    """Keys without a keyword, 12 to 40 characters, among names and paths made of words the corpus may not hold."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    table = secrets_scan.train(docs)
+    rng, letters = random.Random(11), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in range(12, 41) for _ in range(10)]
+    words = WORDS + ["river", "engine", "market", "stone", "winter", "garden", "letter", "window"]
+    styles = [lambda w: w[0] + "".join(x.title() for x in w[1:]), "_".join, "-".join, "/".join, lambda w: "_".join(w).upper(),
+              lambda w: "".join(x.title() for x in w)]
+    names = [style(rng.sample(words, 4)) for style in styles for _ in range(50)]
+    rows = [(i, f"see {v} here") for i, v in enumerate(keys + names)]
+    found = {r["doc_id"]: r["spans"] for r in secrets_scan.find_secrets(spark.createDataFrame(rows, "doc_id int, text string"), table).collect()}
+    caught = sum([(s["start"], s["end"]) for s in found[i]] == [(4, 4 + len(k))] for i, k in enumerate(keys))
+    wrong = [v for i, v in enumerate(names, len(keys)) if found[i]]
+    assert caught >= 0.95 * len(keys) and len(wrong) <= 0.03 * len(names), (caught / len(keys), wrong)
+    clean = secrets_scan.redact(spark.createDataFrame(rows, "doc_id int, text string"), table).collect()
+    assert all(("[SECRET]" in r["text"]) == bool(found[r["doc_id"]]) for r in clean)
+
+
 def test_line_rules(spark, edges, empty):
     common = "Share this page with friends of the house today!"
     rows = [(1000 + i, prose(50 + i, 60) + "\n" + common + "\n" + common.upper() + "  ", "h1") for i in range(30)]
