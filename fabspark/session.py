@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on: UTC timestamps (fixtures and day bins are
@@ -80,3 +81,27 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     shared_dir(df.sparkSession, "ckpt")  # makes sure a checkpoint dir is set
     return df.checkpoint(eager=True)
+
+
+ROWS_A_PART = 5_000                  # rows of a part, where the number of rows is known
+
+
+def in_parts(df, rows: int):
+    """``rows`` rows, about, in no more parts than they fill."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PART)))
+
+
+def cut_computed(df, rows: int | None = None):
+    """``cut_lineage`` for columns computed by lambdas: on a checkpoint of such a projection, or of a union of them, the
+    planner fails over constraints that name columns below it ("key not found"). Cached, the rows have a plan without
+    constraints; the cache goes as soon as the checkpoint stands. ``rows``: how many there are, about, so that few
+    of them do not lie in a part for each shuffle partition."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return cut_lineage(df)
+    if rows is not None:
+        df = in_parts(df, rows)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(held)
+    finally:
+        held.unpersist()
