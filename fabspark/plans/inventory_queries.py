@@ -12,7 +12,7 @@ from ..operators import profile as P
 from ..operators import score as S
 from ..operators import smote as SM
 from ..operators import wafer as W
-from ..session import cut_lineage, shared_dir
+from ..session import cut_computed, shared_dir
 from ..sinks import reports as R
 from ..sources import fixtures as FX
 from ..sources import sensor_text as ST
@@ -195,7 +195,7 @@ def _set02(spark, sf):
 @register("set_04_removed_by_enn", with_ctes(["dense"],
     "SELECT unit_id, y FROM sm WHERE unit_id IN (SELECT qid FROM nn3 WHERE nlabel <> qlabel)", SMOTE_ENN))
 def _set04(spark, sf):
-    base = cut_lineage(SM.smote(FX.dense_sensors(spark, sf)))
+    base = cut_computed(SM.smote(FX.dense_sensors(spark, sf)))
     kept = SM.enn_filter(base)
     return base.join(kept.select("unit_id"), "unit_id", "left_anti").select("unit_id", "y")
 
