@@ -17,7 +17,8 @@ narrowing a value bracket:
 
 Every pass is a grouped aggregation with map-side partial aggregation; the
 driver only counts open brackets; the bracket table (one row per wanted
-order statistic) is checkpointed each pass. Passes needed ~
+order statistic) is checkpointed each pass and, up to ``BROADCAST_BRACKETS``
+rows, broadcast: joined by key, all values of a group would be sorted in one task. Passes needed ~
 log_buckets(n / max_collect).
 """
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 MAX_COLLECT = 50_000
+BROADCAST_BRACKETS = 100_000          # brackets sent to every task; the rows of a group then need no task of their own
 BUCKETS = 4096
 LARGEST = 1.7976931348623157e308      # infinities count as this, halved so that widths stay finite
 
@@ -51,6 +53,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     br = ranks.select(*keys, "rank", "lo", "hi", F.lit(0).cast("long").alias("below"),
                       F.col("n").alias("cnt")).cache()
     first = br
+    few = 2 * len(probs) * stats.count() <= BROADCAST_BRACKETS
+    sent = F.broadcast if few else (lambda d: d)
     done = (F.col("cnt") <= max_collect) | (F.col("lo") == F.col("hi"))
     # lo falls into the first bucket and hi into the last, so every pass narrows each open
     # bracket. Brackets over many magnitudes are cut on a signed log scale, others evenly:
@@ -64,7 +68,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                  .when(lo < hi, (v / 2 - lo / 2) / (hi / 2 - lo / 2))
                  .otherwise((F.col("_v") > F.col("lo")).cast("double")))
         bucket = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-        hist = (x.join(open_, keys)
+        hist = (x.join(sent(open_), keys)
                 .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
                 .withColumn("b", bucket)
                 .groupBy(*keys, "rank", "below", "b")
@@ -78,7 +82,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         # iterative: cut the lineage of the (small) bracket table at every pass
         # with a reliable checkpoint in the shared checkpoint folder
         br = cut_lineage(br.filter(done).unionByName(pick))
-    final = (x.join(br, keys)
+    final = (x.join(sent(br), keys)
              .filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
              .groupBy(*keys, "rank", "below", "lo", "hi")
              .agg(F.sort_array(F.collect_list(F.when(F.col("lo") < F.col("hi"), F.col("_v")))).alias("vals")))
