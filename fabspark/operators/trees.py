@@ -29,6 +29,8 @@ from .split import SEED, seeded_rank
 MAX_ROWS = 100_000                   # labelled rows of one frame that trees are grown from
 MAX_BINS = 255
 TREES_A_TASK = 25
+SUM_ENTRIES = 1 << 20                # codes that are counted at once
+HELD_HISTOGRAMS = 256                # of leaves that wait to be split; the others are counted again
 
 
 @dataclass
@@ -102,8 +104,7 @@ class Bins:
     def __init__(self, x: np.ndarray, max_bins: int = MAX_BINS):
         self.edges = [self._cut(x[:, j], max_bins) for j in range(x.shape[1])]
         self.width = max((len(e) for e in self.edges), default=0) + 1
-        self.codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
-        self.flat = self.codes + np.arange(x.shape[1]) * self.width
+        self.codes = np.stack([np.searchsorted(e, x[:, j], side="left").astype(np.int16) for j, e in enumerate(self.edges)], axis=1)
 
     @staticmethod
     def _cut(v: np.ndarray, max_bins: int) -> np.ndarray:
@@ -126,7 +127,7 @@ class Growth:
 def grow(bins: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray, limits: Growth,
          rng: np.random.Generator, columns: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
     """One tree and the leaf value of every given row. ``g``, ``h`` and ``count`` are of all rows."""
-    wide, depth_of = bins.codes.shape[1], [0]
+    wide, held = bins.codes.shape[1], [0]
     allowed = np.zeros(wide, dtype=bool)
     allowed[np.arange(wide) if columns is None else columns] = True
     tree: dict[str, list] = {k: [] for k in ("feature", "edge", "left", "right", "value", "gain", "code")}
@@ -134,8 +135,15 @@ def grow(bins: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.n
     waiting: list[tuple] = []
 
     def sums(at: np.ndarray) -> np.ndarray:
-        flat = bins.flat[at].ravel()
-        return np.stack([np.bincount(flat, np.repeat(v[at], wide), wide * bins.width) for v in (g, h, count)]).reshape(3, wide, bins.width)
+        out = np.empty((3, wide, bins.width))
+        step = max(1, SUM_ENTRIES // max(1, len(at)))
+        for lo in range(0, wide, step):                            # some features at a time: the same sums, row by row
+            codes = bins.codes[at, lo:lo + step]
+            n = codes.shape[1]
+            flat = (codes + np.arange(n) * bins.width).ravel()
+            for s, v in enumerate((g, h, count)):
+                out[s, lo:lo + n] = np.bincount(flat, np.repeat(v[at], n), n * bins.width).reshape(n, bins.width)
+        return out
 
     def leaf(at: np.ndarray, hist: np.ndarray, depth: int) -> int:
         node, total_g, total_h = len(tree["value"]), g[at].sum(), h[at].sum()
@@ -158,7 +166,9 @@ def grow(bins: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.n
                 best[order[last:]] = -np.inf
             f = int(best.argmax()) if wide else 0
             if wide and best[f] > 1e-12:
-                heapq.heappush(waiting, (-float(best[f]), node, f, int(gain[f].argmax()), depth, hist))
+                kept = hist if held[0] < HELD_HISTOGRAMS else None
+                held[0] += kept is not None
+                heapq.heappush(waiting, (-float(best[f]), node, f, int(gain[f].argmax()), depth, kept))
         return node
 
     leaf(rows, sums(rows), 0)
@@ -168,8 +178,13 @@ def grow(bins: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.n
         at = members[node]
         near = bins.codes[at, f] <= code
         a, b = at[near], at[~near]
-        small = sums(a if len(a) <= len(b) else b)
-        halves = (small, hist - small) if len(a) <= len(b) else (hist - small, small)
+        members[node] = None
+        if hist is None:
+            halves = sums(a), sums(b)
+        else:
+            held[0] -= 1
+            small = sums(a if len(a) <= len(b) else b)
+            halves = (small, hist - small) if len(a) <= len(b) else (hist - small, small)
         tree["feature"][node], tree["edge"][node], tree["gain"][node] = f, float(bins.edges[f][code]), -gain
         tree["left"][node], tree["right"][node] = leaf(a, halves[0], depth + 1), leaf(b, halves[1], depth + 1)
         tree["code"][node] = code
