@@ -101,3 +101,10 @@ def test_wafer_trees_read_few_parts(spark, monkeypatch):
                                                   F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("x"))
     TR.fit_wafer_classifier(maps, ["a", "b"], n_trees=2)
     assert seen == [1]
+
+
+def test_maps_to_score_are_dealt_over_all_tasks(spark):
+    from fabspark.operators import score as S
+    maps = spark.range(50).coalesce(1).select(F.col("id").alias("request_id"), F.lit(0).alias("map_idx"))
+    assert S.dealt(maps).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S.dealt(maps).count() == 50
