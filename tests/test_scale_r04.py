@@ -35,3 +35,19 @@ def test_searches_do_not_grow_with_the_folds(spark, units, monkeypatch):
     assert len(calls) == 2 and all(n > 60 for n in rows)
 
 
+@pytest.mark.parametrize("share", ["sqrt", "log2", 0.3])
+def test_forest_counts_only_what_nodes_draw(share, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 14)).round(1), rng.integers(0, 2, (300, 6))], axis=1)
+    y = (x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    copies = [{t: 1 + (i + t) % 3 for t in range(3) if (i * 7 + t) % 4} for i in range(300)]
+    counted = []
+    real = np.bincount
+    monkeypatch.setattr(T.np, "bincount", lambda v, *a: (counted.append(len(v)), real(v, *a))[1])
+    some = T.forest(x, y, np.ones(300), copies, range(3), {"max_features": share}, 0)
+    few, counted[:] = sum(counted), []
+    whole = T.forest(x, y, np.full(300, 0.5), copies, range(3), {"max_features": share}, 0)      # halves: all features are counted
+    assert few < sum(counted)
+    for a, b in zip(some, whole):
+        assert {k: v for k, v in a.items() if k != "gain"} == {k: v for k, v in b.items() if k != "gain"}
+        assert a["gain"] == [2 * v for v in b["gain"]]
