@@ -17,8 +17,9 @@ A set takes the way that costs it less (subsets against list entries, one entry
 counting ``SCAN_COST``); sets near the boundary are listed as well.
 
 Equal sets are one node from the start. Nodes that meet in a list are clustered
-(any link lies within a cluster), each cluster's sets are gathered once, and the
-overlaps are computed exactly there. A cluster with more n-grams than
+(any link lies within a cluster), each cluster's texts are gathered once (they take
+less room than their n-grams), and the overlaps are computed exactly there. List keys
+go straight to their shuffle and are not kept; shuffles go as soon as they are read. A cluster with more n-grams than
 ``cluster_grams`` is cut into blocks and compared block against block.
 
 Defined cases: null or wordless texts have no set, 0 n-grams, and link with
@@ -38,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, freed_shuffles
 from .components import components
 from .textkit import SPACE_WORDS, mix, ngram_hashes, small_batches, split_words, texts_as_bytes
 
 SCAN_COST = 8
+POSTINGS_A_BATCH = 1 << 16
 FILTER_BITS = 1 << 23                 # one bounded bitmap of candidate documents
 
 
@@ -143,29 +145,42 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sketch(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty), keys (once a node and task)."""
+def sketch(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set, null if empty)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            size, node, keys = [], [], []
+            sets = (shingles(text, n) for text in texts_as_bytes(b.column("text")))
+            size, node = zip(*((len(g), node_of(g) if len(g) else None) for g in sets)) if len(b) else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())],
+                                             names=["doc_id", "n_shingles", "node"])
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+
+
+def postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, node) of every list that a set stands in, once a node and task."""
+    def listed(held: list[tuple]) -> pa.RecordBatch:
+        key, node = (pa.array(np.concatenate(x)) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([key, node], names=["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
+        for b in batches:
             for text in texts_as_bytes(b.column("text")):
                 g = shingles(text, n)
-                size.append(len(g))
-                if not len(g):
-                    node.append(None)
-                    keys.append(None)
+                if not len(g) or (mark := node_of(g)) in seen:
                     continue
-                mark = node_of(g)
-                node.append(mark)
-                keys.append(None if mark in seen else keys_of(g, percent).view(np.int64))
                 if len(seen) > 1_000_000:              # spares work only; copies are dropped later too
                     seen.clear()
                 seen.add(mark)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "keys"])
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
+                keys = keys_of(g, percent).view(np.int64)
+                held.append((keys, np.full(len(keys), mark, dtype=np.int64)))
+                size += len(keys)
+                if size >= POSTINGS_A_BATCH:
+                    yield listed(held)
+                    held, size = [], 0
+        if held:
+            yield listed(held)
+    return docs.mapInArrow(run, "key bigint, node bigint")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +209,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """node, grams of the sets of documents that may be among ``chosen``, each node once
+    """node, text of the sets of documents that may be among ``chosen``, each node once
     (a bitmap of bounded size spares most others the shuffle; it never loses one)."""
     rows = chosen.select("doc_id").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
     words = np.zeros(FILTER_BITS >> 5, dtype=np.int64)
@@ -207,17 +222,18 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
         for b in batches:
             at = _bit(np.asarray(b.column("doc_id").fill_null(0)))
             b = b.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-            nodes, grams = [], []
-            for g in (shingles(t, n) for t in texts_as_bytes(b.column("text"))):
+            nodes, texts = [], []
+            for text in texts_as_bytes(b.column("text")):
+                g = shingles(text, n)
                 if not len(g) or (mark := node_of(g)) in seen:
                     continue
                 if len(seen) > 1_000_000:              # spares work only; copies are dropped below too
                     seen.clear()
                 seen.add(mark)
                 nodes.append(mark)
-                grams.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.binary())], names=["node", "grams"])
-    return docs.mapInArrow(run, "node bigint, grams binary").dropDuplicates(["node"])
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], names=["node", "text"])
+    return docs.mapInArrow(run, "node bigint, text binary").dropDuplicates(["node"])
 
 
 def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> np.ndarray:
@@ -251,7 +267,7 @@ def linked(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None)
     return label
 
 
-def _verify(percent: int):
+def _verify(n: int, percent: int):
     """Rows sorted by (root, x, y, node) to edges (a, b) that span the linked nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, nodes, sets, sides = None, [], [], []
@@ -266,15 +282,15 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[label[at]])], names=["a", "b"]) if len(at) else None
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("root", "x", "y", "node", "side", "grams")]
-            for root, x, y, node, side, grams in zip(*cols):
+            cols = [b.column(c).to_pylist() for c in ("root", "x", "y", "node", "side", "text")]
+            for root, x, y, node, side, text in zip(*cols):
                 if (root, x, y) != group:
                     if (out := edges()) is not None:
                         yield out
                     group, nodes, sets, sides = (root, x, y), [], [], []
                 nodes.append(node)
                 sides.append(side)
-                sets.append(np.frombuffer(grams, dtype=np.uint64))
+                sets.append(shingles(text, n))
         if (out := edges()) is not None:
             yield out
     return run
@@ -283,10 +299,13 @@ def _verify(percent: int):
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, cluster_grams: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = cut_lineage(sketch(docs, n, percent))
-    postings = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    met = postings.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a bigint, b bigint")
+    with freed_shuffles(docs.sparkSession):
+        return _join_components(docs.select(F.col("doc_id").cast("long"), "text"), n, percent, cluster_grams)
+
+
+def _join_components(docs: DataFrame, n: int, percent: int, cluster_grams: int) -> DataFrame:
+    rows = cut_lineage(sketch(docs, n))
+    met = postings(docs, n, percent).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a bigint, b bigint")
     clusters = components(met)
     # the smallest document of each set stands for all its copies
     nodes = cut_lineage(rows.where("node IS NOT NULL").groupBy("node").agg(
@@ -301,10 +320,10 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, cluster_gram
     placed = placed.select(
         "node", "root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
         (F.col("block") > F.col("with")).cast("int").alias("side"))
-    sets = _candidate_sets(docs, members, n)
-    gathered = placed.join(sets, "node")             # by text: one doc_id, or none, may stand on several
-    links = cut_lineage(gathered.select("root", "x", "y", "node", "side", "grams").repartition("root", "x", "y")
-                        .sortWithinPartitions("root", "x", "y", "node").mapInArrow(_verify(percent), "a bigint, b bigint"))
+    texts = _candidate_sets(docs, members, n)
+    gathered = placed.join(texts, "node")            # by text: one doc_id, or none, may stand on several
+    links = cut_lineage(gathered.select("root", "x", "y", "node", "side", "text").repartition("root", "x", "y")
+                        .sortWithinPartitions("root", "x", "y", "node").mapInArrow(_verify(n, percent), "a bigint, b bigint"))
     label = components(links)
     named = cut_lineage(nodes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -59,3 +59,19 @@ def test_cuts_come_from_all_rows(spark):
     edges = ST.frame_edges(rows)[2]
     assert len(edges[0]) == T.MAX_BINS and np.abs(edges[0] - np.linspace(0, 2999, 256)[:-1] - 2999 / 510).max() < 3
     assert edges[1].tolist() == [0.5, 1.5]
+
+
+def test_join_keeps_no_keys_and_frees_its_shuffles(spark, monkeypatch, tmp_path):
+    """The Jaccard join's list keys and n-grams are neither checkpointed nor gathered; shuffle files go as soon as they are read."""
+    from fabspark.llm import components, jaccard_join
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept, freed = spark.conf.get(key, None), [], []
+    for module in (jaccard_join, components):
+        real = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, real=real: (kept.append(df.columns), freed.append(spark.conf.get(key, None)), real(df))[-1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words here at all")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(docs, 4, 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert kept and not any({"keys", "grams", "text"} & set(c) for c in kept)
+    assert set(freed) == {"true"} and spark.conf.get(key, None) == before
