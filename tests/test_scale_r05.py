@@ -1,4 +1,6 @@
 """Trees count every row of a frame, whatever its size."""
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,23 @@ def test_join_keeps_no_keys_and_frees_its_shuffles(spark, monkeypatch, tmp_path)
     assert got == {1: 1, 2: 1, 3: 3}
     assert kept and not any({"keys", "grams", "text"} & set(c) for c in kept)
     assert set(freed) == {"true"} and spark.conf.get(key, None) == before
+
+
+def test_draws_are_never_broadcast(spark, frame):
+    rows, _, _ = frame
+    draws = T.balanced_draws(rows, 300)._jdf.queryExecution()
+    assert draws.toRdd().count() > 0
+    plan = draws.executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.split("\n") if "Join [" in line and "rank#" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_trees_of_all_models_are_scored_in_one_pass(spark, frame):
+    rows, x, _ = frame
+    some = T.fit_trees(rows, [_model("xgboost", n_estimators=3), _model("hist_gb", max_iter=3)])
+    folded = rows.select((F.col("unit_id") % 2).cast("int").alias("fold"), "unit_id", "y", "features")
+    got = T.scored_together(folded, {0: [(4, some[0])], 1: [(4, some[1]), (5, some[0])]}).collect()
+    assert len(got) == 600 and {(r["fold"], r["config"]) for r in got} == {(0, 4), (1, 4), (1, 5)}
+    want = [m.probability(x) for m in some]
+    assert all(r["score"] == want[int(r["fold"] == 1 and r["config"] == 4)][r["unit_id"]] for r in got)
+    assert len(pickle.dumps(some[0])) < 40 * len(some[0].feature) + 2000
